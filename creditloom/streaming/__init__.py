@@ -1,0 +1,6 @@
+"""Holds nothing on purpose.
+
+The engine's two arrival rules are batch questions here: feature months without predictions are
+an anti join (``operators.temporal.unscored_snapshots``), and labels that arrive six months late
+are a date filter (``operators.temporal.matured``).
+"""
