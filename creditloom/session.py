@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A lookup side is broadcast only when it was counted and found to have at most this many rows.
-BROADCAST_ROWS = 1_000_000
+# A lookup side is broadcast only after it was found to have at most this many rows.
+BROADCAST_ROWS = 100_000
 
 
 def build_session(app: str, master: str | None = None, **conf: str) -> SparkSession:
@@ -46,9 +46,12 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def lookup_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Fix a lookup table and mark it for broadcast if, counted, it is small enough.
+    """A table for the small side of a join: broadcast if it has at most ``max_rows`` rows.
 
-    Beyond ``max_rows`` the table is returned without a hint and the join shuffles.
+    Such a table is fetched once and put into the plan as it is. Beyond that size it is returned
+    unchanged and the join shuffles.
     """
-    fixed = materialize(df)
-    return F.broadcast(fixed) if fixed.count() <= max_rows else fixed
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema, verifySchema=False))

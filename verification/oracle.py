@@ -164,7 +164,7 @@ VIEWS: dict[str, str] = {
         SELECT *, (model_predictions >= prediction_threshold)::INTEGER AS label
         FROM (SELECT o_custkey::VARCHAR AS Customer_ID,
             date_trunc('month', o_orderdate)::DATE AS snapshot_date,
-            max(o_totalprice) / 600000 AS model_predictions, 'credit_model' AS model_name,
+            max(o_totalprice) / 600011 AS model_predictions, 'credit_model' AS model_name,
             CASE WHEN o_custkey % 3 = 0 THEN 0.4 ELSE 0.5 END::DOUBLE AS prediction_threshold
           FROM orders GROUP BY o_custkey, date_trunc('month', o_orderdate))""",
     "month_labels": """

@@ -152,14 +152,17 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One stored prediction per customer and order month; thresholds differ by customer."""
+    """One stored prediction per customer and order month; thresholds differ by customer.
+
+    The divisor gives scores without short decimals, so rounded averages do not end in ties.
+    """
     return (
         table(spark, sf_dir, "orders")
         .groupBy(
             F.col("o_custkey").cast("string").alias("Customer_ID"),
             F.trunc("o_orderdate", "month").alias("snapshot_date"),
         )
-        .agg((F.max("o_totalprice") / 600000).alias("model_predictions"))
+        .agg((F.max("o_totalprice") / 600011).alias("model_predictions"))
         .withColumns(
             {
                 "model_name": F.lit("credit_model"),
