@@ -16,8 +16,8 @@ from pyspark.sql import Window
 from creditloom.functions.scores import number_or_null, right_closed_index
 from creditloom.operators.ordering import with_running_totals
 
-# Up to this many rows a column is ordered as it is; beyond, it is narrowed down first.
-DIRECT_ROWS = 1_000_000
+# A column with at most this many values is sorted as one array; a larger one is narrowed down.
+DIRECT_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -32,6 +32,78 @@ def _place(fraction: Fraction, rows: int) -> tuple[int, int, float]:
     return low, low + (rest > 0), rest / fraction.denominator
 
 
+def _ranked_in_arrays(values: DataFrame, ranks: Mapping[str, Sequence[int]]) -> dict:
+    """Values at the given ranks of short columns, each sorted as one array."""
+    ordered = values.agg(*[F.sort_array(F.collect_list(name)).alias(name) for name in ranks])
+    picks = [F.array(*[F.col(n)[r] for r in wanted]).alias(n) for n, wanted in ranks.items()]
+    row = ordered.select(*picks).first()
+    return {(n, r): v for n, wanted in ranks.items() for r, v in zip(wanted, row[n])}
+
+
+def _ranked_by_narrowing(
+    values: DataFrame, ranks: Mapping[str, Sequence[int]], fractions: Sequence[Fraction]
+) -> dict:
+    """Values at the given ranks of long columns.
+
+    The columns are sketched, and rows are counted between cut points taken from the sketch,
+    close on both sides of every quantile. Then only the values in the intervals the ranks fall
+    into are ordered. The sketch decides how narrow those are, never the result.
+    """
+    margin = 2 / SKETCH_ACCURACY
+    around = sorted({min(max(float(f) + d, 0.0), 1.0) for f in fractions for d in (-margin, margin)})
+    sketches = values.agg(
+        *[F.percentile_approx(name, around, SKETCH_ACCURACY).alias(name) for name in ranks]
+    ).first()
+    cuts = {name: sorted(set(sketches[name])) for name in ranks}
+
+    def long_form(*extra: str) -> DataFrame:
+        entries = [
+            F.struct(
+                F.lit(name).alias("name"),
+                right_closed_index(F.col(name), cuts[name]).alias("part"),
+                *[F.col(name).alias(field) for field in extra],
+            )
+            for name in ranks
+        ]
+        return values.select(F.inline(F.array(*entries))).where(F.col("part").isNotNull())
+
+    counts = {
+        (row["name"], row["part"]): row["count"]
+        for row in long_form().groupBy("name", "part").count().collect()
+    }
+    targets = []
+    for name, wanted in ranks.items():
+        before = 0
+        for part in range(len(cuts[name]) + 1):
+            size = counts.get((name, part), 0)
+            targets += [(name, part, r, r - before) for r in wanted if before <= r < before + size]
+            before += size
+
+    intervals = sorted({f"{name}/{part}" for name, part, _, _ in targets})
+    collapsed = (
+        long_form("value")
+        .where(F.concat_ws("/", "name", "part").isin(intervals))
+        .groupBy("name", "part", "value")
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    ordered = Window.partitionBy("name", "part").orderBy("value")
+    upto = F.sum("rows").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    inside = (F.col("local") < F.col("upto")) & (F.col("local") >= F.col("upto") - F.col("rows"))
+    # One row per column and wanted rank.
+    wanted_ranks = values.sparkSession.createDataFrame(
+        targets, "name string, part int, rank long, local long"
+    )
+    picked = (
+        collapsed.withColumn("upto", upto)
+        .join(F.broadcast(wanted_ranks), ["name", "part"])
+        .where(inside)
+    )
+    return {
+        (row["name"], row["rank"]): row["value"]
+        for row in picked.select("name", "rank", "value").collect()
+    }
+
+
 def column_quantiles(
     df: DataFrame,
     columns: Mapping[str, Column],
@@ -40,81 +112,29 @@ def column_quantiles(
 ) -> dict[str, list[float] | None]:
     """Quantiles of several numeric columns; null and NaN are left out, no values gives None.
 
-    Only counts and the found values reach the driver: columns × quantiles numbers. A column
-    with more than ``direct_rows`` values is first sketched, and its rows are counted between
-    cut points taken from the sketch, close on both sides of every quantile. Then only the
-    values in the intervals the wanted ranks fall into are ordered. The sketch decides how
-    narrow those are, never the result.
+    Only counts and the found values reach the driver: columns × quantiles numbers. ``df`` is
+    read two to four times, the wanted columns only: persist it when it is an expensive plan.
     """
     if not columns or not fractions:
         return {name: None for name in columns}
-    numbers = {f"v{i}": number_or_null(value) for i, value in enumerate(columns.values())}
-    values = df.select(*[value.alias(name) for name, value in numbers.items()])
-
-    rows = values.agg(*[F.count(name).alias(name) for name in numbers]).first().asDict()
-    large = [name for name in numbers if rows[name] > direct_rows]
-    cuts: dict[str, list[float]] = {name: [] for name in numbers}
-    if large:
-        margin = 2 / SKETCH_ACCURACY
-        around = {min(max(float(f) + d, 0.0), 1.0) for f in fractions for d in (-margin, margin)}
-        sketch = [F.percentile_approx(n, sorted(around), SKETCH_ACCURACY).alias(n) for n in large]
-        for name, points in values.agg(*sketch).first().asDict().items():
-            cuts[name] = sorted(set(points))
-
-    def long_form(kept: Sequence[str], with_value: bool) -> DataFrame:
-        def entry(name: str) -> Column:
-            fields = [
-                F.lit(name).alias("name"),
-                right_closed_index(F.col(name), cuts[name]).alias("part"),
-            ]
-            return F.struct(*fields, *([F.col(name).alias("value")] if with_value else []))
-
-        return values.select(F.inline(F.array(*[entry(name) for name in kept]))).where(
-            F.col("part").isNotNull()
-        )
-
-    counts = {(name, 0): rows[name] for name in numbers if not cuts[name]}
-    if large:
-        for row in long_form(large, False).groupBy("name", "part").count().collect():
-            counts[(row["name"], row["part"])] = row["count"]
-
-    targets: dict[tuple[str, int], list[tuple[int, int]]] = {}
-    for name in numbers:
-        ranks = sorted({r for f in fractions for r in _place(f, rows[name])[:2]} if rows[name] else [])
-        before = 0
-        for part in range(len(cuts[name]) + 1):
-            size = counts.get((name, part), 0)
-            inside = [(rank, rank - before) for rank in ranks if before <= rank < before + size]
-            if inside:
-                targets[(name, part)] = inside
-            before += size
-
+    labels = {f"v{i}": label for i, label in enumerate(columns)}
+    values = df.select(*[number_or_null(columns[label]).alias(n) for n, label in labels.items()])
+    rows = values.agg(*[F.count(name).alias(name) for name in labels]).first().asDict()
+    ranks = {
+        name: sorted({rank for f in fractions for rank in _place(f, rows[name])[:2]})
+        for name in labels
+        if rows[name]
+    }
+    short = {name: ranks[name] for name in ranks if rows[name] <= direct_rows}
+    long = {name: ranks[name] for name in ranks if rows[name] > direct_rows}
     found: dict[tuple[str, int], float] = {}
-    present = sorted({name for name, _ in targets})
-    if present:
-        wanted_rank = df.sparkSession.createDataFrame(
-            [(n, p, rank, local) for (n, p), pairs in targets.items() for rank, local in pairs],
-            "name string, part int, rank long, local long",
-        )
-        in_target = F.concat_ws("/", "name", "part").isin([f"{n}/{p}" for n, p in targets])
-        collapsed = (
-            long_form(present, True)
-            .where(in_target)
-            .groupBy("name", "part", "value")
-            .agg(F.count(F.lit(1)).alias("rows"))
-        )
-        ordered = Window.partitionBy("name", "part").orderBy("value")
-        upto = F.sum("rows").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-        picked = (
-            collapsed.withColumn("upto", upto)
-            .join(F.broadcast(wanted_rank), ["name", "part"])
-            .where((F.col("local") < F.col("upto")) & (F.col("local") >= F.col("upto") - F.col("rows")))
-        )
-        for row in picked.select("name", "rank", "value").collect():
-            found[(row["name"], row["rank"])] = row["value"]
+    if short:
+        found |= _ranked_in_arrays(values, short)
+    if long:
+        found |= _ranked_by_narrowing(values, long, fractions)
 
     result: dict[str, list[float] | None] = {}
-    for name, label in zip(numbers, columns):
+    for name, label in labels.items():
         if not rows[name]:
             result[label] = None
             continue

@@ -134,10 +134,7 @@ def monitor(
     reference = tables.read_months(
         spark, store, windows["feature_start_date"], windows["feature_end_date"]
     )
-    for snapshot in snapshots:
-        tables.read_snapshot(spark, store, snapshot)
-    days = [F.lit(s).cast("date") for s in snapshots]
-    current = spark.read.parquet(store).where(F.col(K.SNAPSHOT).isin(days))
+    current = tables.require_snapshots(spark.read.parquet(store), snapshots, store)
     selection.require_columns(current, features, "feature store")
 
     def scored(df: DataFrame) -> DataFrame:

@@ -10,7 +10,12 @@ from creditloom import constants as K
 from creditloom.functions.scores import score_class
 from creditloom.operators import modeling, registry, selection
 from creditloom.operators.temporal import unscored_snapshots
-from creditloom.plans.training import REGISTRY_SCHEMA, train_model
+from creditloom.plans.training import (
+    FACTS_SCHEMA,
+    REGISTRY_SCHEMA,
+    reconcile_registry,
+    train_model,
+)
 from creditloom.sources import tables
 
 PREDICTION_COLUMNS = [
@@ -24,19 +29,12 @@ PREDICTION_COLUMNS = [
 
 
 def load_model(spark: SparkSession, model_root: str, version: str) -> tuple[PipelineModel, dict]:
-    """A saved pipeline and its facts: frozen features, windows and stored cutoff."""
-    facts = (
-        spark.read.parquet(f"{model_root}/facts").where(F.col("model_version") == version).first()
-    )
-    log = tables.read_revision(spark, f"{model_root}/registry", REGISTRY_SCHEMA)
-    row = log.where(F.col("model_version") == version).first()
-    if facts is None or row is None:
-        raise LookupError(f"model not registered: {version}")
-    known = facts.asDict() | {
-        "prediction_threshold": row["prediction_threshold"],
-        "model_type": row["model_type"],
-    }
-    return PipelineModel.load(f"{model_root}/artifacts/{version}"), known
+    """A saved pipeline and its facts: frozen features, windows, stored cutoff."""
+    facts = tables.read_table(spark, f"{model_root}/facts", FACTS_SCHEMA)
+    row = facts.where(F.col("file_stem") == version).first()
+    if row is None:
+        raise LookupError(f"no saved model {version}")
+    return PipelineModel.load(f"{model_root}/artifacts/{version}"), row.asDict()
 
 
 def choose_model(
@@ -47,10 +45,11 @@ def choose_model(
     lake: str | None = None,
     bootstrap_date: str = K.FIRST_TRAINING_DATE,
 ) -> str:
-    """The named model, else the champion, else the challenger.
+    """The named model, else the champion, else the challenger, after reconciling the registry.
 
     With ``lake`` given and nothing usable registered, one model is trained first.
     """
+    reconcile_registry(spark, model_root)
     log = tables.read_revision(spark, f"{model_root}/registry", REGISTRY_SCHEMA)
     try:
         return registry.selected_model(log, model_version, model_type)

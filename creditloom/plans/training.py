@@ -14,11 +14,17 @@ from creditloom import constants as K
 from creditloom.functions.months import training_windows
 from creditloom.operators import classification, modeling, quality, registry, sampling, selection
 from creditloom.operators.temporal import label_feature_join
-from creditloom.sources.tables import read_revision, save_revision
+from creditloom.session import materialize
+from creditloom.sources.tables import read_revision, read_table, save_revision
 
 SPLITS = ("train", "test", "oot")
 REGISTRY_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in K.REGISTRY_COLUMNS.items())
-DATA_STATS_SCHEMA = "model_version string, split string, row_count long, default_rate double"
+# What is saved beside a pipeline. ``file_stem`` is its folder, so a misplaced model shows.
+FACTS_SCHEMA = (
+    f"{REGISTRY_SCHEMA}, features array<string>, windows map<string,string>,"
+    " params map<string,string>,"
+    " data_stats array<struct<split:string,row_count:long,default_rate:double>>, file_stem string"
+)
 WINDOW_COLUMNS = [
     "train_test_start_date",
     "train_test_end_date",
@@ -106,15 +112,13 @@ def fit_model(
     kept = rows.where(F.col("part").isNotNull()).select(
         K.CUSTOMER, "loan_id", K.SNAPSHOT, "part", F.col("label").cast("double"), *names
     )
-    # One join feeds every fit below.
+    # One join and one split feed every fit below.
     kept = kept.persist()
+    split = sampling.with_stratified_holdout(
+        kept.where(F.col("part") == "train_test"), "label", [K.CUSTOMER, "loan_id", K.SNAPSHOT]
+    ).persist()
     try:
         check_training_rows(kept, names)
-        split = sampling.with_stratified_holdout(
-            kept.where(F.col("part") == "train_test"),
-            "label",
-            [K.CUSTOMER, "loan_id", K.SNAPSHOT],
-        )
         train = split.where(~F.col("holdout")).drop("holdout")
         test = split.where(F.col("holdout")).drop("holdout")
         oot = kept.where(F.col("part") == "oot")
@@ -160,6 +164,7 @@ def fit_model(
         for df in ready.values():
             df.unpersist()
     finally:
+        split.unpersist()
         kept.unpersist()
     return FittedModel(
         model=PipelineModel([*prepared.stages, *tail.stages]),
@@ -211,18 +216,27 @@ def train_model(
     names = spark.createDataFrame([(base,)], "base_name string")
     version = registry.next_version_numbers(log, names).first()["model_version"]
     fit.model.write().save(f"{model_root}/artifacts/{version}")
-    facts = spark.createDataFrame(
-        [(version, fit.features, fit.windows, {k: str(v) for k, v in fit.params.items()})],
-        "model_version string, features array<string>, windows map<string,string>,"
-        " params map<string,string>",
-    )
-    facts.write.mode("append").partitionBy("model_version").parquet(f"{model_root}/facts")
-    stats = [(version, split, *fit.split_sizes[split]) for split in SPLITS]
-    spark.createDataFrame(stats, DATA_STATS_SCHEMA).write.mode("append").partitionBy(
-        "model_version"
-    ).parquet(f"{model_root}/data_stats")
-    new = spark.createDataFrame(
-        [[registry_row(fit, version)[name] for name in K.REGISTRY_COLUMNS]], REGISTRY_SCHEMA
-    )
+
+    row = registry_row(fit, version)
+    new = spark.createDataFrame([[row[name] for name in K.REGISTRY_COLUMNS]], REGISTRY_SCHEMA)
+    stats = [(split, *fit.split_sizes[split]) for split in SPLITS]
+    params = {name: str(value) for name, value in fit.params.items()}
+    facts = [
+        *[row[name] for name in K.REGISTRY_COLUMNS], fit.features, fit.windows, params, stats, version
+    ]
+    spark.createDataFrame([facts], FACTS_SCHEMA).write.mode("append").partitionBy(
+        "file_stem"
+    ).parquet(f"{model_root}/facts")
     save_revision(registry.registered(log, new), f"{model_root}/registry")
     return version
+
+
+def reconcile_registry(spark: SparkSession, model_root: str) -> DataFrame:
+    """Bring the registry in line with the saved models; returns the versions that came or went."""
+    log = read_revision(spark, f"{model_root}/registry", REGISTRY_SCHEMA)
+    facts = read_table(spark, f"{model_root}/facts", FACTS_SCHEMA)
+    # The log is small; fixing it allows a new revision to be written to where it was read from.
+    now = materialize(registry.reconciled(facts, log).select(*K.REGISTRY_COLUMNS))
+    changes = materialize(registry.version_changes(now, log))
+    save_revision(now, f"{model_root}/registry")
+    return changes

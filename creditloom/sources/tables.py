@@ -48,13 +48,32 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     return reader.parquet(path)
 
 
+def read_table_or_csv(
+    spark: SparkSession, path: str, csv_path: str, schema: StructType | str
+) -> DataFrame:
+    """The table, else its CSV export, else an empty table; always with ``schema``."""
+    if exists(spark, path):
+        return spark.read.schema(schema).parquet(path)
+    try:
+        return read_csv(spark, csv_path, schema)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def require_snapshots(table: DataFrame, snapshots: Sequence[str], what: str) -> DataFrame:
+    """The rows of the snapshots; raises, naming them, if any has none."""
+    days = [F.lit(s).cast("date") for s in snapshots]
+    rows = table.where(F.col(K.SNAPSHOT).isin(days))
+    present = {str(row[0]) for row in rows.select(K.SNAPSHOT).distinct().collect()}
+    absent = sorted(set(snapshots) - present)
+    if absent:
+        raise FileNotFoundError(f"no snapshot {', '.join(absent)} in {what}")
+    return rows
+
+
 def read_snapshot(spark: SparkSession, path: str, snapshot: str) -> DataFrame:
     """Rows of one snapshot; raises if it is not there."""
-    day = F.lit(snapshot).cast("date")
-    rows = spark.read.parquet(path).where(F.col(K.SNAPSHOT) == day)
-    if rows.isEmpty():
-        raise FileNotFoundError(f"no snapshot {snapshot} in {path}")
-    return rows
+    return require_snapshots(spark.read.parquet(path), [snapshot], path)
 
 
 def read_months(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:

@@ -183,6 +183,10 @@ def test_second_model_is_versioned_and_compared(spark, lake, models):
     assert registry.selected_model(log, model_type=K.LOG_REG).endswith("_v1")
     with pytest.raises(LookupError):
         registry.selected_model(log, model_type=K.BOOSTED_TREES)
+    assert training.reconcile_registry(spark, root).isEmpty()
+    log = tables.read_revision(spark, f"{root}/registry", training.REGISTRY_SCHEMA)
+    flags = {row["model_version"]: (row["champion"], row["challenger"]) for row in log.collect()}
+    assert flags[second] == (0, 1)  # reconciling makes the best other model challenger
     due = retraining.training_due(spark, root, "2024-11-01").first()
     assert not due["training_due"]
     assert retraining.training_due(spark, root, "2024-12-01").first()["training_due"]

@@ -114,3 +114,13 @@ def test_coverage_counts_join_rows(spark):
     row = quality.join_coverage(left, {"x": right, "none": right.limit(0)}).first()
     assert (row["total_rows"], row["x_matched"], row["x_no_overlap"]) == (2, 2, False)
     assert (row["none_matched"], row["none_no_overlap"]) == (0, True)
+
+
+def test_table_else_export_else_empty(spark, tmp_path):
+    path, csv_path = str(tmp_path / "t"), str(tmp_path / "csv")
+    schema = "k string, v int, snapshot_date date"
+    assert tables.read_table_or_csv(spark, path, csv_path, schema).isEmpty()
+    months(spark, [("a", 1, JAN)]).write.option("header", True).csv(csv_path)
+    assert tables.read_table_or_csv(spark, path, csv_path, schema).first()["v"] == 1
+    tables.write_snapshots(months(spark, [("b", 2, FEB)]), path)
+    assert tables.read_table_or_csv(spark, path, csv_path, schema).first()["k"] == "b"

@@ -55,9 +55,11 @@ def present(df: DataFrame, digits: int) -> DataFrame:
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, DateType):
-            column = F.date_format(column, "yyyy-MM-dd")
-        elif isinstance(field.dataType, (FloatType, DoubleType)):
-            column = F.round(column.cast("double"), digits) + F.lit(0.0)
+            column = column.cast("string")
+        elif isinstance(field.dataType, FloatType):
+            column = column.cast("double")
+        elif isinstance(field.dataType, DoubleType):
+            column = F.round(column, digits) + F.lit(0.0)
         columns.append(column.alias(field.name))
     return df.select(*columns)
 
@@ -257,6 +259,16 @@ def dq_split_sanity(spark, sf):
     return quality.split_sanity(joined, sampling.temporal_split(windows), features)
 
 
+@query
+def split_default_rate(spark, sf):
+    windows = months.training_windows(F.lit(TRAIN_DATE).cast("date"))
+    return (
+        labels(spark, sf)
+        .groupBy(sampling.temporal_split(windows).alias("split"))
+        .agg(F.count(F.lit(1)).alias("row_count"), F.round(F.avg("label"), 2).alias("default_rate"))
+    )
+
+
 @query
 def dq_maturity(spark, sf):
     due = temporal.maturing_predictions(V.predictions(spark, sf), F.col("model_name"))

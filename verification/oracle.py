@@ -342,10 +342,13 @@ def _needed(sql: str) -> list[str]:
     return [name for name in VIEWS if name in wanted]
 
 
-def _shaped(sql: str, dates: str = "", numbers: str = "", digits: int = 9) -> str:
-    """The statement with its views, dates as text and numbers rounded."""
+def _shaped(
+    sql: str, dates: str = "", numbers: str = "", floats: str = "", digits: int = 9
+) -> str:
+    """The statement with its views, dates as text, doubles rounded and floats as they are."""
     replaced = [f"strftime({d}, '%Y-%m-%d') AS {d}" for d in dates.split()]
     replaced += [f"round({n}::DOUBLE, {digits}) + 0.0 AS {n}" for n in numbers.split()]
+    replaced += [f"{f}::DOUBLE AS {f}" for f in floats.split()]
     body = f"SELECT * REPLACE ({', '.join(replaced)}) FROM ({sql})" if replaced else sql
     views = ", ".join(f"{name} AS ({VIEWS[name]})" for name in _needed(sql))
     return f"WITH {views} {body}" if views else body
@@ -430,10 +433,8 @@ FINANCIAL_TYPES = {
 _FLOATS = " ".join(c for c, kind in FINANCIAL_TYPES.items() if kind == "n")
 _NUMBERS = [c for c, kind in FINANCIAL_TYPES.items() if kind]
 _LOAN_FLOATS = "loan_amt due_amt paid_amt overdue_amt balance"
-_GOLD_NUMBERS = (
-    "Annual_Income Outstanding_Debt fe_1 fe_2 fe_3 fe_4 fe_5 debt_to_income_ratio"
-    " emi_to_salary_ratio"
-)
+_GOLD_FLOATS = "Annual_Income Outstanding_Debt"
+_GOLD_NUMBERS = "fe_1 fe_2 fe_3 fe_4 fe_5 debt_to_income_ratio emi_to_salary_ratio"
 _GOLD_SHOWN = f"""Customer_ID, snapshot_date, Age, Annual_Income, Outstanding_Debt,
     fe_1, fe_2, fe_3, fe_4, fe_5, {_RATIOS}, {_HISTORY} AS Credit_History_Age_Months"""
 
@@ -462,10 +463,12 @@ def statements() -> dict[str, str]:
         "snapshot_date",
     )
     sql["silver_loan_typed"] = _shaped(
-        "SELECT * FROM loan_typed", "loan_start_date snapshot_date", _LOAN_FLOATS
+        "SELECT * FROM loan_typed", "loan_start_date snapshot_date", floats=_LOAN_FLOATS
     )
     sql["silver_loan_dpd"] = _shaped(
-        "SELECT * FROM loan_silver", "loan_start_date snapshot_date first_missed_date", _LOAN_FLOATS
+        "SELECT * FROM loan_silver",
+        "loan_start_date snapshot_date first_missed_date",
+        floats=_LOAN_FLOATS,
     )
     sql["silver_dedupe"] = _shaped(
         "SELECT DISTINCT loan_id, installment_num, loan_start_date FROM loan_raw"
@@ -479,10 +482,12 @@ def statements() -> dict[str, str]:
     )
 
     # Features
-    sql["silver_financials_clean"] = _shaped("SELECT * FROM financials", "snapshot_date", _FLOATS)
+    sql["silver_financials_clean"] = _shaped(
+        "SELECT * FROM financials", "snapshot_date", floats=_FLOATS
+    )
     sql["silver_attributes_clean"] = _shaped("SELECT * FROM attributes", "snapshot_date")
     sql["gold_features"] = _shaped(
-        f"SELECT {_GOLD_SHOWN} FROM gold_joined", "snapshot_date", _GOLD_NUMBERS
+        f"SELECT {_GOLD_SHOWN} FROM gold_joined", "snapshot_date", _GOLD_NUMBERS, _GOLD_FLOATS
     )
     fallback = ", ".join(f"coalesce(g.fe_{i}, d.fe_{i}) AS fe_{i}" for i in range(1, 6))
     sql["gold_features_fallback"] = _shaped(
@@ -497,6 +502,7 @@ def statements() -> dict[str, str]:
             ON g.snapshot_date = d.snapshot_date AND g.rn = d.rn)""",
         "snapshot_date",
         _GOLD_NUMBERS,
+        _GOLD_FLOATS,
     )
     sql["gold_derived_ratios"] = _shaped(
         f"SELECT Customer_ID, {_RATIOS} FROM financials",
@@ -568,6 +574,13 @@ def statements() -> dict[str, str]:
         WHERE l.snapshot_date BETWEEN DATE '1999-04-01' AND DATE '2000-05-31'
         GROUP BY split"""
     )
+    sql["split_default_rate"] = _shaped(
+        """SELECT CASE WHEN snapshot_date BETWEEN DATE '1999-04-01' AND DATE '2000-03-31'
+            THEN 'train_test' WHEN snapshot_date BETWEEN DATE '2000-04-01' AND DATE '2000-05-31'
+            THEN 'oot' END AS split, count(*) AS row_count, round(avg(label), 2) AS default_rate
+        FROM gold_label GROUP BY split""",
+        numbers="default_rate",
+    )
     sql["dq_maturity"] = _shaped(
         f"""SELECT count(*) AS prediction_count,
           count(*) FILTER (label_snapshot_date <= DATE '{EVALUATION_DATE}') AS matured_count,
@@ -912,7 +925,7 @@ def statements() -> dict[str, str]:
           TRY_CAST(replace(Num_of_Delayed_Payment, '_', '') AS FLOAT) AS as_float,
           trunc(TRY_CAST(replace(Num_of_Delayed_Payment, '_', '') AS DOUBLE))::INTEGER AS as_int,
           count(*) AS row_count FROM financials_raw GROUP BY ALL""",
-        numbers="as_float",
+        floats="as_float",
     )
     sql["stratified_split"] = _shaped(
         """SELECT actual_label, rn <= ceil(n / 5.0) AS holdout, count(*) AS row_count,

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _month_text(column: str) -> str:
-    return f"date_format(trunc({column}, 'month'), 'yyyy-MM-dd')"
+    return f"cast(trunc({column}, 'month') as string)"
 
 
 def loan_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +211,7 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case s_nationkey % 3 when 0 then 'xgboost' when 1 then 'log_reg' else 'other' end"
         " as model_type",
         "case when s_suppkey % 19 = 0 then concat(s_name, '_copy') else s_name end as file_stem",
-        "date_format(add_months(date'2024-01-01', cast(s_suppkey % 10 as int)), 'yyyy-MM-dd')"
+        "cast(add_months(date'2024-01-01', cast(s_suppkey % 10 as int)) as string)"
         " as train_date",
         f"0.5D + pmod({cents}, 13) / 40D as auc_train",
         f"0.5D + pmod({cents}, 11) / 40D as auc_test",
