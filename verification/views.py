@@ -177,9 +177,12 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def drift_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as a scored population with numeric and text features, some of them missing."""
-    return table(spark, sf_dir, "orders").selectExpr(
+def drift_rows(spark: SparkSession, sf_dir: str, dates: str = "true") -> DataFrame:
+    """Orders as a scored population with numeric and text features, some of them missing.
+
+    ``dates`` is a condition on the order date, which reaches the scan.
+    """
+    return table(spark, sf_dir, "orders").where(dates).selectExpr(
         "trunc(o_orderdate, 'month') as snapshot_date",
         "o_totalprice / 600000 as model_score",
         "case when o_orderkey % 50 <> 0 then o_totalprice end as total_price",
@@ -196,11 +199,11 @@ TEXT_DRIFT = ["priority", "order_status", "clerk"]
 
 
 def drift_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift_rows(spark, sf_dir).where(F.col("snapshot_date") < F.lit(DRIFT_FROM).cast("date"))
+    return drift_rows(spark, sf_dir, f"o_orderdate < date'{DRIFT_FROM}'")
 
 
 def drift_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift_rows(spark, sf_dir).where(F.col("snapshot_date") >= F.lit(DRIFT_FROM).cast("date"))
+    return drift_rows(spark, sf_dir, f"o_orderdate >= date'{DRIFT_FROM}'")
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
