@@ -38,3 +38,8 @@ def known_versions(*tables: DataFrame) -> DataFrame:
 
 def latest_per_model(history: DataFrame, order: str) -> DataFrame:
     return latest_by_key(history, ["model_version"], [order])
+
+
+def in_order(history: DataFrame, *order: str, newest: str) -> DataFrame:
+    """A history with the newest of ``newest`` first, then by the other columns upwards."""
+    return history.orderBy(F.desc(newest), *order)

@@ -27,7 +27,8 @@ from creditloom.operators import (
     silver,
     temporal,
 )
-from creditloom.plans import training
+from creditloom.plans import monitoring, training
+from creditloom.sources import tables
 from verification import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +84,13 @@ def bronze_snapshot_filter(spark, sf):
     )
 
 
+@query
+def source_files(spark, sf):
+    """Rows by the file they were read from."""
+    rows = tables.read_with_file_name(spark, f"{sf}/orders.parquet")
+    return rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 @query
 def snapshot_row_counts(spark, sf):
     return quality.snapshot_row_counts(loans(spark, sf))
@@ -311,7 +319,7 @@ def prediction_defaults(spark, sf):
 @query
 def unscored_snapshots(spark, sf):
     features = V.monthly_features(spark, sf)
-    scored = V.predictions(spark, sf).where(F.month("snapshot_date") % 2 == 1)
+    scored = V.predictions(spark, sf).where(F.col("snapshot_date") < F.lit("1999-05-01").cast("date"))
     return temporal.unscored_snapshots(features, scored, "1996-01-01", "2000-12-01")
 
 
@@ -414,6 +422,27 @@ def drift_status(spark, sf):
     return drift.with_statuses(monitored(spark, sf), 0.1, 0.25, 0.1, 0.25)
 
 
+@query
+def monitoring_summary(spark, sf):
+    """The monitoring job's rows for every current snapshot."""
+    detail = monitoring.drift_report(
+        V.drift_reference(spark, sf),
+        V.drift_current(spark, sf),
+        [*V.NUMERIC_DRIFT, *V.TEXT_DRIFT],
+    )
+    windows = {"feature_start_date": "1995-01-01", "feature_end_date": "1999-12-31"}
+    return monitoring.monitoring_summary(detail, "credit_model", windows).drop("created_at")
+
+
+@query
+def csi_ranked(spark, sf):
+    """Report rows in reading order: per snapshot the score first, then features by CSI."""
+    detail = drift_query(
+        spark, sf, ["model_score", *V.NUMERIC_DRIFT], V.TEXT_DRIFT, ["snapshot_date"]
+    )
+    return monitoring.ordered_detail(detail).select("snapshot_date", "feature_name", "csi")
+
+
 @query
 def psi_trend(spark, sf):
     return drift.drift_trend(monitored(spark, sf)).select(
@@ -553,6 +582,11 @@ def history_upsert(spark, sf):
     return history.upserted(old, new, K.MONITORING_KEY)
 
 
+@query
+def history_in_order(spark, sf):
+    return history.in_order(month_totals(spark, sf), "model_version", newest="snapshot_date")
+
+
 @query
 def keep_last_dedupe(spark, sf):
     """Of all line items of an order and line the last shipped; ties by part."""
@@ -610,12 +644,14 @@ def registry_selection(spark, sf):
 
 @query
 def version_counter(spark, sf):
+    """Next version per base name; half of the base names have no version yet."""
     suppliers = V.table(spark, sf, "supplier")
-    base = F.concat(F.lit("credit_model_"), (F.col("s_nationkey") % 20).cast("string"))
-    versions = suppliers.where(F.col("s_nationkey") != 3).select(
+    base = F.concat(F.lit("credit_model_"), F.col("s_nationkey").cast("string"))
+    versions = suppliers.select(
         F.concat(base, F.lit("_v"), F.col("s_suppkey").cast("string")).alias("model_version")
     )
-    return registry.next_version_numbers(versions, suppliers.select(base.alias("base_name")).distinct())
+    names = F.explode(F.array(base, F.concat(base, F.lit("_new")))).alias("base_name")
+    return registry.next_version_numbers(versions, suppliers.select(names).distinct())
 
 
 # --- Profiles -----------------------------------------------------------------------------

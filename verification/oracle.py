@@ -447,6 +447,7 @@ def statements() -> dict[str, str]:
         """SELECT loan_id, Customer_ID, loan_start_date, tenure, installment_num, snapshot_date
         FROM loan_raw WHERE snapshot_date = '1999-03-01'"""
     )
+    sql["source_files"] = "SELECT 'orders.parquet' AS source_file, count(*) AS row_count FROM orders"
     sql["snapshot_row_counts"] = _shaped(
         "SELECT snapshot_date, count(*) AS row_count FROM loan_silver GROUP BY snapshot_date",
         "snapshot_date",
@@ -612,7 +613,7 @@ def statements() -> dict[str, str]:
         """SELECT DISTINCT snapshot_date FROM monthly_features
         WHERE snapshot_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-01'
           AND snapshot_date NOT IN (SELECT snapshot_date FROM predictions
-            WHERE month(snapshot_date) % 2 = 1)""",
+            WHERE snapshot_date < DATE '1999-05-01')""",
         "snapshot_date",
     )
     windows = (
@@ -679,6 +680,25 @@ def statements() -> dict[str, str]:
         "snapshot_date",
         "psi_score max_csi",
     )
+    sql["monitoring_summary"] = _shaped(
+        f"""SELECT m.model_version, strftime(m.snapshot_date, '%Y-%m-%d') AS snapshot_date,
+          strftime(m.snapshot_date, '%Y_%m_%d') AS snapshot_date_clean,
+          '1995-01-01' AS reference_feature_start_date, '1999-12-31' AS reference_feature_end_date,
+          s.reference_count, s.current_count, psi_score, psi_status, max_csi, max_csi_feature,
+          csi_status, CASE WHEN psi_score >= 0.25 THEN 'retrain_required'
+            WHEN psi_status = 'warning' OR csi_status = 'warning' THEN 'warning'
+            ELSE 'healthy' END AS status, psi_score >= 0.25 AS retrain_required,
+          0.1::DOUBLE AS psi_warning_threshold, 0.25::DOUBLE AS psi_retrain_threshold,
+          0.1::DOUBLE AS csi_warning_threshold, 0.25::DOUBLE AS csi_retrain_threshold,
+          5 AS categorical_top_n
+        FROM (SELECT *, {status_of.format('psi_score')} AS psi_status,
+            {status_of.format('max_csi')} AS csi_status FROM monitored) m
+        JOIN month_csi s ON m.snapshot_date = s.snapshot_date AND s.feature_name = 'model_score'""",
+        numbers="psi_score max_csi",
+    )
+    sql["csi_ranked"] = _shaped(
+        "SELECT snapshot_date, feature_name, csi FROM month_csi", "snapshot_date", "csi"
+    )
     sql["psi_trend"] = _shaped(
         """SELECT *, psi_change / nullif(psi_previous, 0) AS psi_change_pct,
           CASE WHEN psi_change > 0 THEN 'increased' WHEN psi_change < 0 THEN 'decreased'
@@ -776,6 +796,7 @@ def statements() -> dict[str, str]:
         FROM month_totals""",
         "snapshot_date",
     )
+    sql["history_in_order"] = _shaped("SELECT * FROM month_totals", "snapshot_date")
     sql["keep_last_dedupe"] = _shaped(
         """SELECT loan_id, line, snapshot_date, part, amount FROM scores
         QUALIFY row_number() OVER (PARTITION BY loan_id, line
@@ -814,9 +835,11 @@ def statements() -> dict[str, str]:
         FROM reconciled GROUP BY model_type"""
     )
     sql["version_counter"] = _shaped(
-        """SELECT base_name, n + 1 AS next_number, base_name || '_v' || (n + 1)::VARCHAR AS model_version
-        FROM (SELECT 'credit_model_' || (s_nationkey % 20)::VARCHAR AS base_name,
-            count(*) FILTER (s_nationkey <> 3) AS n FROM supplier GROUP BY base_name)"""
+        """SELECT base_name || suffix AS base_name, n + 1 AS next_number,
+          base_name || suffix || '_v' || (n + 1)::VARCHAR AS model_version
+        FROM (SELECT base_name, suffix, CASE WHEN suffix = '' THEN versions ELSE 0 END AS n
+          FROM (SELECT 'credit_model_' || s_nationkey::VARCHAR AS base_name, count(*) AS versions
+            FROM supplier GROUP BY base_name), (VALUES (''), ('_new')) t(suffix))"""
     )
 
     # Profiles
