@@ -17,19 +17,17 @@ from creditloom.operators.classification import (
     with_class_metrics,
 )
 from creditloom.operators.quantiles import DIRECT_ROWS, column_quantiles, even_fractions
+from creditloom.session import materialize
 
 
 def performance_summary(scored: DataFrame, evaluation_date: str) -> DataFrame:
-    """One row per model over all matured predictions and one per prediction month.
-
-    ``scored`` is read twice; persist it when it is an expensive plan.
-    """
+    """One row per model over all matured predictions and one per prediction month."""
     keys = ["model_version", "performance_group"]
     month_group = F.date_format(
         "prediction_snapshot_date", f"'{K.MONTH_GROUP_PREFIX}'yyyy_MM_dd"
     )
-    # Equal rows are counted before each is needed in two groups.
-    counted = (
+    # Equal rows are counted once and fixed; rates and ranks both start from the counts.
+    counted = materialize(
         scored.groupBy(
             "model_version",
             "prediction_snapshot_date",
@@ -38,12 +36,8 @@ def performance_summary(scored: DataFrame, evaluation_date: str) -> DataFrame:
             F.col("model_predictions").cast("double").alias("score"),
             F.col("predicted_label").cast("int").alias("predicted"),
             F.col("actual_label").cast("int").alias("actual"),
-        )
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn(
-            "performance_group", F.explode(F.array(F.lit(K.ALL_MATURED), month_group))
-        )
-    )
+        ).agg(F.count(F.lit(1)).alias("rows"))
+    ).withColumn("performance_group", F.explode(F.array(F.lit(K.ALL_MATURED), month_group)))
     rows = F.col("rows")
     total = F.sum("rows")
 

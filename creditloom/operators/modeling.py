@@ -5,8 +5,11 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from fractions import Fraction
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -21,7 +24,6 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from fractions import Fraction
 
 from creditloom import constants as K
 from creditloom.operators.quantiles import column_quantiles
@@ -30,6 +32,7 @@ LABEL = "label"
 FEATURES = "features"
 CALIBRATION_INPUT = "calibration_input"
 CALIBRATED = "calibrated"
+SEARCH_PARALLELISM = 4
 
 
 def fit_preprocessing(
@@ -117,22 +120,30 @@ def fit_candidate(model_type: str, params: Mapping[str, Any], train: DataFrame,
 
 
 def search(
-    model_type: str, train: DataFrame, holdout: DataFrame, candidates: Sequence[Mapping[str, Any]]
+    model_type: str,
+    train: DataFrame,
+    holdout: DataFrame,
+    candidates: Sequence[Mapping[str, Any]],
+    parallelism: int = SEARCH_PARALLELISM,
 ) -> tuple[Any, dict[str, Any], float]:
-    """The candidate with the best holdout AUC; the first of equals wins."""
+    """The candidate with the best holdout AUC; the first of equals wins.
+
+    ``parallelism`` fits are under way at a time, each a distributed job of its own.
+    """
     evaluator = BinaryClassificationEvaluator(
         labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0
     )
     rows = train.count()
-    best: tuple[Any, dict[str, Any], float] | None = None
-    for params in candidates:
+
+    def fitted(params: Mapping[str, Any]) -> tuple[Any, dict[str, Any], float]:
         model = fit_candidate(model_type, params, train, rows)
-        auc = evaluator.evaluate(model.transform(holdout))
-        if best is None or auc > best[2]:
-            best = (model, dict(params), auc)
-    if best is None:
+        return model, dict(params), evaluator.evaluate(model.transform(holdout))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        results = list(pool.map(inheritable_thread_target(train.sparkSession)(fitted), candidates))
+    if not results:
         raise ValueError("no parameter points to try")
-    return best
+    return max(results, key=lambda result: result[2])
 
 
 def calibration_slicer(model_type: str) -> VectorSlicer:

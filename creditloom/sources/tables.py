@@ -106,14 +106,24 @@ def write_snapshots(
     Rebalancing gives each snapshot a few even files, however large the snapshot is.
     """
     balanced = df.hint("rebalance", *partition_by)
-    targets = [("parquet", path)] + ([("csv", csv_path)] if csv_path else [])
-    for kind, target in targets:
+
+    def replace(kind: str, target: str) -> None:
         writer = balanced.write.mode("overwrite").partitionBy(*partition_by)
         writer = writer.option("partitionOverwriteMode", "dynamic")
         if kind == "csv":
             writer = writer.option("header", True)
         writer.format(kind).save(target)
 
+    if csv_path is None:
+        replace("parquet", path)
+        return
+    balanced = balanced.persist()  # two outputs of one plan
+    try:
+        replace("parquet", path)
+        replace("csv", csv_path)
+    finally:
+        balanced.unpersist()
+
 
 def write_missing_snapshots(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Write only snapshots the table does not have yet, or all with ``overwrite``."""

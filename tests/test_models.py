@@ -53,5 +53,7 @@ def test_boosted_trees_and_unknown_family(spark):
     point = {name: options[0] for name, options in K.BOOSTED_TREES_GRID.items()} | {"n_estimators": 2}
     model, params, auc = modeling.search(K.BOOSTED_TREES, df, df, [point])
     assert params == point and auc > 0.9
+    two = [point | {"max_depth": 2}, point | {"max_depth": 4}]
+    assert modeling.search(K.BOOSTED_TREES, df, df, two)[1] == two[0]  # equal AUC: the first wins
     with pytest.raises(ValueError):
         modeling.fit_candidate("none", {}, df, 1)
