@@ -354,9 +354,9 @@ def _shaped(
     return f"WITH {views} {body}" if views else body
 
 
-def _metrics(fields: str = "") -> str:
-    """Class rates from tn, fp, fn, tp given as columns."""
-    return """
+def _metrics(cells: str) -> str:
+    """Class rates added to a statement with the columns tn, fp, fn and tp."""
+    return f"""
       SELECT *, CASE WHEN precision + recall > 0
           THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1,
         (recall + specificity) / 2 AS balanced_accuracy, recall - false_positive_rate AS youden_j
@@ -366,7 +366,7 @@ def _metrics(fields: str = "") -> str:
         CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall,
         CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END AS specificity,
         CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0 END AS false_positive_rate
-        FROM (%s))"""
+        FROM ({cells}))"""
 
 
 _RATES = "accuracy precision recall specificity false_positive_rate f1 balanced_accuracy youden_j"
@@ -397,7 +397,7 @@ _SWEEP_CELLS = """
     FROM (SELECT year(snapshot_date)::INTEGER AS year, model_predictions AS s, actual_label AS y
       FROM scores), range(1, 100) t(k)
     GROUP BY year, k"""
-_SWEEP = _metrics() % _SWEEP_CELLS
+_SWEEP = _metrics(_SWEEP_CELLS)
 
 
 def _bands(source: str) -> str:
@@ -738,11 +738,11 @@ def statements() -> dict[str, str]:
     sql["brier_logloss"] = _shaped(
         f"SELECT snapshot_date, brier, log_loss FROM ({ranked})", "snapshot_date", "brier log_loss"
     )
-    cells = """count(*) FILTER ({1} = 0 AND {2} = 0) AS tn, count(*) FILTER ({1} = 0 AND {2} = 1) AS fp,
-        count(*) FILTER ({1} = 1 AND {2} = 0) AS fn, count(*) FILTER ({1} = 1 AND {2} = 1) AS tp"""
-    month_cells = cells.format("", "actual_label", "label")
+    cells = """count(*) FILTER ({0} = 0 AND {1} = 0) AS tn, count(*) FILTER ({0} = 0 AND {1} = 1) AS fp,
+        count(*) FILTER ({0} = 1 AND {1} = 0) AS fn, count(*) FILTER ({0} = 1 AND {1} = 1) AS tp"""
+    month_cells = cells.format("actual_label", "label")
     sql["confusion_metrics"] = _shaped(
-        _metrics() % f"SELECT snapshot_date, {month_cells} FROM scores GROUP BY snapshot_date",
+        _metrics(f"SELECT snapshot_date, {month_cells} FROM scores GROUP BY snapshot_date"),
         "snapshot_date",
         _RATES,
     )
@@ -769,8 +769,8 @@ def statements() -> dict[str, str]:
         FROM ({grouped})""",
         "g AS performance_group,",
     )
-    group_cells = cells.format("", "actual_label", "predicted_label")
-    rates = _metrics() % f"""
+    group_cells = cells.format("actual_label", "predicted_label")
+    rates = _metrics(f"""
         SELECT model_version, '{EVALUATION_DATE}' AS evaluation_date, performance_group,
           strftime(min(prediction_snapshot_date), '%Y-%m-%d') AS prediction_start_date,
           strftime(max(prediction_snapshot_date), '%Y-%m-%d') AS prediction_end_date,
@@ -780,7 +780,7 @@ def statements() -> dict[str, str]:
           avg(model_predictions) AS avg_model_prediction,
           median(prediction_threshold) AS prediction_threshold,
           avg(predicted_label) AS predicted_default_rate, {group_cells}
-        FROM ({grouped}) GROUP BY model_version, performance_group"""
+        FROM ({grouped}) GROUP BY model_version, performance_group""")
     sql["performance_summary"] = _shaped(
         f"""SELECT r.* EXCLUDE (false_positive_rate, balanced_accuracy, youden_j),
           k.auc, k.gini, k.brier, k.log_loss
