@@ -177,7 +177,7 @@ class TextCoder:
 
         self.coder = PrefixCoder(ranks)
         self._matches = regex.compile(pattern).findall
-        self._known: dict[str, list[int]] = {}
+        self._known: dict[str, tuple[int, ...]] = {}
         self._cache = PieceCache(self._parts)
         tokens = [self.coder.bytes_of.get(i, b"") for i in range(max(self.coder.bytes_of) + 1)]
         self._sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
@@ -194,7 +194,7 @@ class TextCoder:
             for match in self._matches(part[0] if isinstance(part, tuple) else " " + part):
                 known = self._known.get(match)
                 if known is None:
-                    known = self.coder.encode(match.encode())
+                    known = tuple(self.coder.encode(match.encode()))
                     if len(match) < 40:
                         self._known[match] = known
                 ids += known

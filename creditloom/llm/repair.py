@@ -90,9 +90,10 @@ def compress(
     ends = np.zeros(base + max_rules, bool)
     ends[end_id] = True
     while len(symbols) > 1 and len(rules) < max_rules:
-        open_ = ~ends[symbols[:-1]]
         keys = (symbols[:-1] << kind(half)) | symbols[1:]
-        pairs, found = _frequent(keys[open_], min_count)
+        pairs, found = _frequent(keys, min_count)
+        open_ = ~ends[pairs >> kind(half)]
+        pairs, found = pairs[open_], found[open_]
         if not len(pairs):
             break
         lefts, rights, chosen = set(), set(), []
@@ -107,14 +108,19 @@ def compress(
         table = np.full(1 << _HASH_BITS, -1, np.int16)
         picked = np.array(chosen, kind)
         table[_hashed(picked, half)] = np.arange(len(picked))  # of colliding pairs one waits a round
-        which = table[_hashed(keys, half)]
-        places = np.flatnonzero((which >= 0) & open_)
-        places = places[picked[which[places]] == keys[places]]
+        is_left, is_right = np.zeros((2, base + max_rules), bool)
+        is_left[list(lefts)], is_right[list(rights)] = True, True
+        places = np.flatnonzero(is_left[symbols[:-1]])
+        places = places[is_right[symbols[places + 1]]]
+        which = table[_hashed(keys[places], half)]
+        hit = (which >= 0) & (picked[which] == keys[places])
+        places, which = places[hit], which[hit]
         # In a run such as a a a a every second place counts.
         first = np.flatnonzero(np.diff(places, prepend=-2) > 1)
         run = np.repeat(first, np.diff(first, append=len(places)))
-        places = places[(np.arange(len(places)) - run) % 2 == 0]
-        used, number = np.unique(which[places], return_inverse=True)
+        counted = (np.arange(len(places)) - run) % 2 == 0
+        places = places[counted]
+        used, number = np.unique(which[counted], return_inverse=True)
         new = base + len(rules)
         for pair in picked[used].tolist():
             left, right = pair >> half, pair & ((1 << half) - 1)
@@ -182,7 +188,7 @@ class Shard:
 # --- Writing --------------------------------------------------------------------------------
 
 _CACHES: dict[str, tuple[PieceCache, int]] = {}
-_MAX_WORDS = 300_000
+_MAX_WORDS = 500_000
 _PLAIN = chr(0x250)  # Latin letters below have no combining marks and one lower-case form each
 
 
@@ -203,11 +209,13 @@ class _WordCoder:
         # Fixed value: how this tokenizer's file splits a text.
         self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self._byte_signs = _byte_signs()
-        self._words: dict[str, list[int]] = {}
+        self._words: dict[str, tuple[int, ...]] = {}
 
-    def _word(self, word: str) -> list[int]:
-        signs = word.encode().decode("latin-1").translate(self._byte_signs)
-        known = self._words[word] = [token.id for token in self._model.tokenize(signs)]
+    def _word(self, word: str) -> tuple[int, ...]:
+        signs = word
+        if not word.isalpha() or not word.isascii():
+            signs = word.encode().decode("latin-1").translate(self._byte_signs)
+        known = self._words[word] = tuple([token.id for token in self._model.tokenize(signs)])
         return known
 
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +223,7 @@ class _WordCoder:
             self._words.clear()
         known, ids, ends = self._words.get, [], []
         for piece in pieces:
-            if piece and max(piece) < _PLAIN and "<|" not in piece:
+            if piece and (piece.isascii() or max(piece) < _PLAIN) and "<|" not in piece:
                 lower = piece.lower()
                 if lower.isalpha():
                     ids += known(lower) or self._word(lower)
