@@ -173,7 +173,7 @@ def mined_rule(tokens_: Column, rules: list[MinedRule]) -> Column:
         candidates, lambda place: F.size(F.array_except(F.element_at(needed, place + 1), tokens_)) == 0
     )
     ranked = F.array_min(F.transform(matching, lambda place: F.element_at(merit, place + 1)))
-    return F.element_at(F.array(*map(F.lit, best_first)), ranked + 1)
+    return F.when(F.size(matching) > 0, F.element_at(F.array(*map(F.lit, best_first)), ranked + 1))
 
 
 def judge(pages: DataFrame, key: str = "page_id", listed=LISTED, labels: DataFrame | None = None) -> DataFrame:
