@@ -10,7 +10,7 @@ are fitted in one task, on at most about ``MAX_ROWS`` labelled rows drawn by a h
 at most ``MAX_FEATURES`` words a category; scoring is a column expression over all documents.
 
 Null and empty texts have no words and get the score of their numbers. A category with one class
-only, or without labels, gets a constant. Labels of one id are merged by the largest value.
+only gets a constant, near zero if there are no labels at all. Labels of one id are merged by the largest value.
 Repeated rows are scored alike; other columns are ignored.
 """
 
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int
         F.count(F.lit(1)).alias("n"), *[F.sum(f"is_{c}").alias(c) for c in categories]
     ).first()
     if not totals["n"]:
-        return [Link(c, earlier=[0.0] * i) for i, c in enumerate(categories)]
+        return [Link(c, -30.0, earlier=[0.0] * i) for i, c in enumerate(categories)]
     words = sample.select(F.explode(features(F.col("text"))).alias("feature"), "fold", *[f"is_{c}" for c in categories])
     counted = words.groupBy("feature").agg(*sums)
     seen = sum(F.col(f"n_{k}") for k in range(FOLDS))
