@@ -21,7 +21,7 @@ from creditloom.functions.scores import (
     overall_status,
     right_closed_index,
 )
-from creditloom.operators.quantiles import DIRECT_ROWS, column_quantiles, even_fractions
+from creditloom.operators.quantiles import column_quantiles, even_fractions
 from creditloom.operators.selection import member_or_other
 
 
@@ -86,10 +86,9 @@ def fit_buckets(
     categorical: Sequence[str] = (),
     bins: int = K.DEFAULT_BINS,
     top_n: int = K.CATEGORICAL_TOP_N,
-    direct_rows: int = DIRECT_ROWS,
 ) -> DriftBuckets:
     quantiles = column_quantiles(
-        reference, {name: F.col(name) for name in numeric}, even_fractions(bins), direct_rows
+        reference, {name: F.col(name) for name in numeric}, even_fractions(bins)
     )
     levels: dict[str, list[str]] = {name: [] for name in categorical}
     if categorical:

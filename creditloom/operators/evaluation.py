@@ -16,7 +16,7 @@ from creditloom.operators.classification import (
     score_counts,
     with_class_metrics,
 )
-from creditloom.operators.quantiles import DIRECT_ROWS, column_quantiles, even_fractions
+from creditloom.operators.quantiles import column_quantiles, even_fractions
 from creditloom.session import materialize
 
 
@@ -62,7 +62,12 @@ def performance_summary(scored: DataFrame, evaluation_date: str) -> DataFrame:
     ranked = ranking_metrics(
         score_counts(counted, keys, F.col("score"), F.col("actual"), rows), keys
     )
-    return summary.join(ranked, keys).select(
+    # A group whose scores are all missing has no ranks, but its row stays.
+    ranked = ranked.withColumnsRenamed({key: f"__{key}" for key in keys})
+    same = F.lit(True)
+    for key in keys:
+        same &= summary[key].eqNullSafe(ranked[f"__{key}"])
+    return summary.join(ranked, same, "left").select(
         "model_version",
         F.lit(evaluation_date).alias("evaluation_date"),
         "performance_group",
@@ -111,11 +116,11 @@ def band_names(edges: Sequence[float], digits: int = 3) -> list[str]:
 
 
 def score_bands(
-    scored: DataFrame, bins: int = K.DEFAULT_BINS, direct_rows: int = DIRECT_ROWS
+    scored: DataFrame, bins: int = K.DEFAULT_BINS
 ) -> DataFrame:
     """Calibration by quantile band of the score; tied scores give fewer bands or a single one."""
     quantiles = column_quantiles(
-        scored, {"score": F.col("model_predictions")}, even_fractions(bins), direct_rows
+        scored, {"score": F.col("model_predictions")}, even_fractions(bins)
     )["score"]
     edges = sorted(set(quantiles or []))
     if len(edges) < 2:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from creditloom.session import lookup_side, materialize
+from creditloom.session import materialize
 
 _PART = "__part"
 _POSITION = "__position"
@@ -61,12 +61,32 @@ def with_row_number(
     )
     number = F.col("__before") + F.col(_POSITION) - F.col("__first") + 1
     return (
-        _join_on(placed, lookup_side(runs), [*groups, _PART])
+        _join_on(placed, runs, [*groups, _PART])
         .withColumn(name, number)
         .drop(_PART, _POSITION, "__first", "__before")
     )
 
 
+def numbered(df: DataFrame, groups: Sequence[str], name: str) -> DataFrame:
+    """Number the rows 1, 2, … inside each of ``groups`` in any order, without moving them."""
+    placed = materialize(
+        df.withColumn(_POSITION, F.monotonically_increasing_id()).withColumn(
+            _PART, F.shiftright(_POSITION, _LOCAL_BITS)
+        )
+    )
+    inside = Window.partitionBy(*groups, _PART).orderBy(_POSITION)
+    runs = placed.groupBy(*groups, _PART).agg(F.count(F.lit(1)).alias("__rows"))
+    earlier = Window.partitionBy(*groups).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(
+        *groups, _PART, F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before")
+    )
+    return (
+        _join_on(placed, runs, [*groups, _PART])
+        .withColumn(name, F.col("__before") + F.row_number().over(inside))
+        .drop(_PART, _POSITION, "__before")
+    )
+
+
 def with_running_totals(
     df: DataFrame, groups: Sequence[str], order: str, amounts: Sequence[str]
 ) -> DataFrame:
@@ -96,7 +116,7 @@ def with_running_totals(
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = _join_on(placed, lookup_side(runs), [*groups, _PART])
+    joined = _join_on(placed, runs, [*groups, _PART])
     return joined.withColumns(
         {
             f"{a}_before": F.col(f"__earlier_{a}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from creditloom import constants as K
 from creditloom.functions.scores import number_or_null
-from creditloom.operators.quantiles import DIRECT_ROWS, column_quantiles, group_quantiles
+from creditloom.operators.quantiles import column_quantiles, group_quantiles
 
 
 def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -68,11 +68,11 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def numeric_summary(
-    df: DataFrame, columns: Sequence[str], direct_rows: int = DIRECT_ROWS
+    df: DataFrame, columns: Sequence[str]
 ) -> DataFrame:
     """count, mean, std, min, quartiles and max of numeric columns, rounded to 4 digits."""
     quartiles = column_quantiles(
-        df, {c: F.col(c) for c in columns}, [Fraction(i, 4) for i in (1, 2, 3)], direct_rows
+        df, {c: F.col(c) for c in columns}, [Fraction(i, 4) for i in (1, 2, 3)]
     )
     rows = []
     for name in columns:
@@ -185,11 +185,11 @@ def snapshot_score_stats(predictions: DataFrame) -> DataFrame:
 
 
 def ratio_bounds(
-    df: DataFrame, direct_rows: int = DIRECT_ROWS
+    df: DataFrame
 ) -> dict[str, list[float] | None]:
     """The 1 % and 99 % quantiles of the ratio columns a table has."""
     columns = {c: F.col(c) for c in K.CAPPED_RATIOS if c in df.columns}
-    return column_quantiles(df, columns, [Fraction(q) for q in K.RATIO_QUANTILES], direct_rows)
+    return column_quantiles(df, columns, [Fraction(q) for q in K.RATIO_QUANTILES])
 
 
 def bounds_frame(spark, bounds: Mapping[str, list[float] | None]) -> DataFrame:
@@ -199,7 +199,7 @@ def bounds_frame(spark, bounds: Mapping[str, list[float] | None]) -> DataFrame:
 
 def lookback_snapshots(df: DataFrame, months: int, last: str | None = None) -> DataFrame:
     """The latest ``months`` snapshots of the table, optionally up to the month of ``last``."""
-    dates = df.select(F.to_date(K.SNAPSHOT).alias(K.SNAPSHOT))
+    dates = df.select(F.col(K.SNAPSHOT).try_cast("date").alias(K.SNAPSHOT))
     if last:
         cutoff = F.trunc(F.lit(last).cast("date"), "month")
         dates = dates.where(F.trunc(K.SNAPSHOT, "month") <= cutoff)

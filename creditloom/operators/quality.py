@@ -20,7 +20,7 @@ def snapshot_row_counts(df: DataFrame) -> DataFrame:
 
 def missing_months(df: DataFrame, first: str, last: str) -> DataFrame:
     """Months of the range that the table has no row for."""
-    present = df.select(F.trunc(F.to_date(K.SNAPSHOT), "month").alias(K.SNAPSHOT)).distinct()
+    present = df.select(F.trunc(F.col(K.SNAPSHOT).try_cast("date"), "month").alias(K.SNAPSHOT)).distinct()
     return (
         month_frame(df.sparkSession, first, last)
         .join(present, K.SNAPSHOT, "left_anti")

@@ -11,13 +11,10 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from creditloom.functions.scores import number_or_null, right_closed_index
 from creditloom.operators.ordering import with_running_totals
 
-# A column with at most this many values is sorted as one array; a larger one is narrowed down.
-DIRECT_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -32,18 +29,10 @@ def _place(fraction: Fraction, rows: int) -> tuple[int, int, float]:
     return low, low + (rest > 0), rest / fraction.denominator
 
 
-def _ranked_in_arrays(values: DataFrame, ranks: Mapping[str, Sequence[int]]) -> dict:
-    """Values at the given ranks of short columns, each sorted as one array."""
-    ordered = values.agg(*[F.sort_array(F.collect_list(name)).alias(name) for name in ranks])
-    picks = [F.array(*[F.col(n)[r] for r in wanted]).alias(n) for n, wanted in ranks.items()]
-    row = ordered.select(*picks).first()
-    return {(n, r): v for n, wanted in ranks.items() for r, v in zip(wanted, row[n])}
-
-
-def _ranked_by_narrowing(
+def _ranked(
     values: DataFrame, ranks: Mapping[str, Sequence[int]], fractions: Sequence[Fraction]
 ) -> dict:
-    """Values at the given ranks of long columns.
+    """Values at the given ranks of each column.
 
     The columns are sketched, and rows are counted between cut points taken from the sketch,
     close on both sides of every quantile. Then only the values in the intervals the ranks fall
@@ -56,16 +45,21 @@ def _ranked_by_narrowing(
     ).first()
     cuts = {name: sorted(set(sketches[name])) for name in ranks}
 
-    def long_form(*extra: str) -> DataFrame:
-        entries = [
-            F.struct(
-                F.lit(name).alias("name"),
-                right_closed_index(F.col(name), cuts[name]).alias("part"),
-                *[F.col(name).alias(field) for field in extra],
-            )
-            for name in ranks
-        ]
-        return values.select(F.inline(F.array(*entries))).where(F.col("part").isNotNull())
+    def long_form(parts: Mapping[str, list[int]] | None = None) -> DataFrame:
+        """One row per column and value: its interval, and of the given intervals the value too.
+
+        Values that are not wanted are left out of the array before it becomes rows.
+        """
+        entries = []
+        for name in ranks:
+            part = right_closed_index(F.col(name), cuts[name])
+            fields = [F.lit(name).alias("name"), part.alias("part")]
+            wanted = part.isNotNull()
+            if parts is not None:
+                fields.append(F.col(name).alias("value"))
+                wanted = part.isin(parts.get(name, []))
+            entries.append(F.when(wanted, F.struct(*fields)))
+        return values.select(F.inline(F.array_compact(F.array(*entries))))
 
     counts = {
         (row["name"], row["part"]): row["count"]
@@ -79,22 +73,21 @@ def _ranked_by_narrowing(
             targets += [(name, part, r, r - before) for r in wanted if before <= r < before + size]
             before += size
 
-    intervals = sorted({f"{name}/{part}" for name, part, _, _ in targets})
+    intervals: dict[str, list[int]] = {}
+    for name, part in sorted({(name, part) for name, part, _, _ in targets}):
+        intervals.setdefault(name, []).append(part)
     collapsed = (
-        long_form("value")
-        .where(F.concat_ws("/", "name", "part").isin(intervals))
-        .groupBy("name", "part", "value")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        long_form(intervals).groupBy("name", "part", "value").agg(F.count(F.lit(1)).alias("rows"))
     )
-    ordered = Window.partitionBy("name", "part").orderBy("value")
-    upto = F.sum("rows").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    inside = (F.col("local") < F.col("upto")) & (F.col("local") >= F.col("upto") - F.col("rows"))
     # One row per column and wanted rank.
     wanted_ranks = values.sparkSession.createDataFrame(
         targets, "name string, part int, rank long, local long"
     )
+    inside = (F.col("rows_before") <= F.col("local")) & (
+        F.col("local") < F.col("rows_before") + F.col("rows")
+    )
     picked = (
-        collapsed.withColumn("upto", upto)
+        with_running_totals(collapsed, ["name", "part"], "value", ["rows"])
         .join(F.broadcast(wanted_ranks), ["name", "part"])
         .where(inside)
     )
@@ -108,12 +101,11 @@ def column_quantiles(
     df: DataFrame,
     columns: Mapping[str, Column],
     fractions: Sequence[Fraction],
-    direct_rows: int = DIRECT_ROWS,
 ) -> dict[str, list[float] | None]:
     """Quantiles of several numeric columns; null and NaN are left out, no values gives None.
 
     Only counts and the found values reach the driver: columns × quantiles numbers. ``df`` is
-    read two to four times, the wanted columns only: persist it when it is an expensive plan.
+    read four times, the wanted columns only: persist it when it is an expensive plan.
     """
     if not columns or not fractions:
         return {name: None for name in columns}
@@ -125,13 +117,7 @@ def column_quantiles(
         for name in labels
         if rows[name]
     }
-    short = {name: ranks[name] for name in ranks if rows[name] <= direct_rows}
-    long = {name: ranks[name] for name in ranks if rows[name] > direct_rows}
-    found: dict[tuple[str, int], float] = {}
-    if short:
-        found |= _ranked_in_arrays(values, short)
-    if long:
-        found |= _ranked_by_narrowing(values, long, fractions)
+    found = _ranked(values, ranks, fractions) if ranks else {}
 
     result: dict[str, list[float] | None] = {}
     for name, label in labels.items():

@@ -197,10 +197,17 @@ def training_cadence(registry: DataFrame, run_date: Column) -> DataFrame:
 
 
 def retrain_decisions(monitoring: DataFrame, snapshot: str | Column) -> DataFrame:
-    """Per model type: whether any monitored model asked for retraining at this snapshot."""
+    """Per known model type: whether any monitored model asked for retraining at this snapshot.
+
+    A type that was not monitored has a row too, and asks for nothing.
+    """
     day = F.lit(snapshot) if isinstance(snapshot, str) else snapshot
-    return (
+    asked = (
         monitoring.where(F.col(K.SNAPSHOT) == day)
         .groupBy("model_type")
-        .agg(F.coalesce(F.bool_or("retrain_required"), F.lit(False)).alias("retrain_required"))
+        .agg(F.bool_or("retrain_required").alias("asked"))
+    )
+    types = monitoring.sparkSession.createDataFrame([(t,) for t in K.MODEL_TYPES], "model_type string")
+    return types.join(asked, "model_type", "left").select(
+        "model_type", F.coalesce("asked", F.lit(False)).alias("retrain_required")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from fractions import Fraction
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from creditloom import constants as K
-from creditloom.operators.ordering import seeded_order
+from creditloom.operators.ordering import numbered, seeded_order, with_row_number
+from creditloom.session import materialize
 
 _PREFIX_LENGTH = 4  # hexadecimal digits: 65,536 even slices of the hash order
 
@@ -62,19 +64,46 @@ def with_stratified_holdout(
     )
     # One row per class from here on.
     in_slice = hashed.withColumn("slice", prefix).join(F.broadcast(limit_slice), [label, "slice"])
+    in_slice = in_slice.select(label, "inside", "__place", "__place.hash", "__place.tie")
     limit = (
-        in_slice.withColumn("n", F.row_number().over(group.orderBy("__place")))
-        .where(F.col("n") == F.col("inside"))
-        .select(label, F.col("__place").alias("__limit"))
+        with_row_number(in_slice, [label], ["hash", "tie"], "n")
+        .groupBy(label, "__place", "inside")
+        .agg(F.min("n").alias("first"), F.max("n").alias("last"))
+        .where(F.col("inside").between(F.col("first"), F.col("last")))
+        .select(
+            F.col(label).alias("__class"),
+            F.col("__place").alias("__limit"),
+            (F.col("inside") - F.col("first") + 1).alias("__take"),
+        )
+    )
+    marked = df.withColumn("__place", place).join(
+        F.broadcast(materialize(limit)), F.col(label).eqNullSafe(F.col("__class")), "left"
+    )
+    at_limit = F.coalesce(F.col("__place") == F.col("__limit"), F.lit(False))
+    rest = marked.where(~at_limit).withColumn(
+        "holdout", F.coalesce(F.col("__place") < F.col("__limit"), F.lit(False))
     )
-    return (
-        df.withColumn("__place", place)
-        .join(F.broadcast(limit), label, "left")
-        .withColumn("holdout", F.coalesce(F.col("__place") <= F.col("__limit"), F.lit(False)))
-        .drop("__place", "__limit")
+    # Rows equal in every column share the limit: as many of them are taken as are still wanted.
+    equal = numbered(marked.where(at_limit), [label], "__n").withColumn(
+        "holdout", F.col("__n") <= F.col("__take")
     )
+    return rest.unionByName(equal.drop("__n")).drop("__place", "__limit", "__take", "__class")
 
 
-def bootstrap_sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Rows drawn with replacement, each on its own, about ``fraction`` of the table."""
-    return df.sample(withReplacement=True, fraction=fraction, seed=seed)
+def bootstrap_sample(
+    df: DataFrame, fraction: float, seed: int, keys: Sequence[str] | None = None
+) -> DataFrame:
+    """Rows drawn with replacement, each on its own, about ``fraction`` of the table.
+
+    How often a row is drawn follows from a hash of its ``keys`` (all columns, if not given), so
+    the sample repeats on any partitioning: the hash is turned into a Poisson count.
+    """
+    digits = F.substring(seeded_order(keys or df.columns, seed), 1, 8)
+    chance = F.conv(digits, 16, 10).cast("double") / float(1 << 32)
+    copies, term, total = F.lit(0), math.exp(-fraction), 0.0
+    for k in range(1, 40):
+        total += term
+        copies += F.when(chance >= F.lit(total), 1).otherwise(0)
+        term *= fraction / k
+    drawn = df.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    return drawn.drop("__copy")

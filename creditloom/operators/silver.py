@@ -63,6 +63,10 @@ def _text(value):
     return value.cast("string")
 
 
+def _date(value):
+    return value.try_cast("date")
+
+
 def silver_financials(raw: DataFrame) -> DataFrame:
     repairs = {name: _rule(cleaning.repaired_float) for name in K.FINANCIAL_FLOATS}
     repairs |= {name: _rule(cleaning.repaired_int) for name in K.FINANCIAL_INTS}
@@ -74,7 +78,7 @@ def silver_financials(raw: DataFrame) -> DataFrame:
         repairs[name] = _rule(
             cleaning.repaired_int, lambda v, low=low, high=high: cleaning.in_range(v, low, high)
         )
-    repairs[K.SNAPSHOT] = _rule(F.to_date)
+    repairs[K.SNAPSHOT] = _rule(_date)
     return _repaired(distinct_rows(raw), repairs)
 
 
@@ -82,12 +86,12 @@ def silver_attributes(raw: DataFrame) -> DataFrame:
     low, high = K.ATTRIBUTE_RANGES["Age"]
     repairs = {name: _rule(_text) for name in K.ATTRIBUTE_TEXTS}
     repairs["Age"] = _rule(cleaning.repaired_int, lambda v: cleaning.in_range(v, low, high))
-    repairs[K.SNAPSHOT] = _rule(F.to_date)
+    repairs[K.SNAPSHOT] = _rule(_date)
     return _repaired(distinct_rows(raw), repairs)
 
 
 def silver_clickstream(raw: DataFrame) -> DataFrame:
-    return _repaired(distinct_rows(raw), {K.SNAPSHOT: _rule(F.to_date)})
+    return _repaired(distinct_rows(raw), {K.SNAPSHOT: _rule(_date)})
 
 
 SILVER_FEATURES = {

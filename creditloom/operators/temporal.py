@@ -26,7 +26,7 @@ def maturing_predictions(
     Without a stored threshold 0.5 is used, and without a stored class the score decides.
     """
     version = F.lit(model_version) if isinstance(model_version, str) else model_version
-    day = F.to_date(K.SNAPSHOT)
+    day = F.col(K.SNAPSHOT).try_cast("date")
     df = predictions.withColumns(
         {
             "prediction_snapshot_date": day,
@@ -53,7 +53,7 @@ def customer_month_labels(labels: DataFrame) -> DataFrame:
     if "label_def" in labels.columns:
         picks.append(F.min("label_def").alias("label_def"))
     return present.groupBy(
-        K.CUSTOMER, F.to_date(K.SNAPSHOT).alias("label_snapshot_date")
+        K.CUSTOMER, F.col(K.SNAPSHOT).try_cast("date").alias("label_snapshot_date")
     ).agg(*picks)
 
 
@@ -63,7 +63,7 @@ def prediction_label_join(predictions: DataFrame, collapsed_labels: DataFrame) -
 
 def snapshot_dates(df: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
     """Distinct snapshot dates in order, optionally between two dates."""
-    day = F.to_date(K.SNAPSHOT)
+    day = F.col(K.SNAPSHOT).try_cast("date")
     dates = df.select(day.alias(K.SNAPSHOT))
     if first:
         dates = dates.where(F.col(K.SNAPSHOT) >= F.lit(first).cast("date"))
@@ -79,7 +79,7 @@ def unscored_snapshots(
     last: str | None = None,
 ) -> DataFrame:
     """Feature months in range that have no prediction yet."""
-    scored = predictions.select(F.to_date(K.SNAPSHOT).alias(K.SNAPSHOT)).distinct()
+    scored = predictions.select(F.col(K.SNAPSHOT).try_cast("date").alias(K.SNAPSHOT)).distinct()
     return (
         snapshot_dates(features, first, last)
         .join(scored, K.SNAPSHOT, "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from creditloom import constants as K
 from creditloom.functions.months import month_frame
@@ -86,7 +87,15 @@ def lake_status(spark: SparkSession, lake: str, first: str, last: str) -> DataFr
 
 def require_complete(status: DataFrame) -> None:
     """Raise, naming the gaps, unless every month is ok or allowed to be empty."""
-    gaps = status.where("status = 'missing'").orderBy("table_name", K.SNAPSHOT).limit(100).collect()
+    months = F.concat_ws(" ", F.sort_array(F.collect_list(F.col(K.SNAPSHOT).cast("string"))))
+    # One row per table, and a month of the calendar per entry.
+    gaps = (
+        status.where("status = 'missing'")
+        .groupBy("table_name")
+        .agg(F.count(F.lit(1)).alias("n"), months.alias("months"))
+        .orderBy("table_name")
+        .collect()
+    )
     if gaps:
-        named = ", ".join(f"{row['table_name']} {row[K.SNAPSHOT]}" for row in gaps)
+        named = ", ".join(f"{row['table_name']} ({row['n']}): {row['months']}" for row in gaps)
         raise ValueError(f"months without rows: {named}")

@@ -53,10 +53,10 @@ def choose_model(
     log = tables.read_revision(spark, f"{model_root}/registry", REGISTRY_SCHEMA)
     try:
         return registry.selected_model(log, model_version, model_type)
-    except (LookupError, ValueError):
+    except LookupError:
         if model_version or lake is None:
             raise
-    return train_model(
+    train_model(
         spark,
         spark.read.parquet(f"{lake}/gold/label_store"),
         spark.read.parquet(f"{lake}/gold/feature_store"),
@@ -64,6 +64,8 @@ def choose_model(
         model_type or K.BOOSTED_TREES,
         model_root,
     )
+    log = tables.read_revision(spark, f"{model_root}/registry", REGISTRY_SCHEMA)
+    return registry.selected_model(log, model_version, model_type)
 
 
 def predictions(

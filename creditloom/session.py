@@ -8,10 +8,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A lookup side is broadcast only after it was found to have at most this many rows.
-BROADCAST_ROWS = 100_000
 
 
 def build_session(app: str, master: str | None = None, **conf: str) -> SparkSession:
@@ -60,15 +56,3 @@ def materialize(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` so that later stages see one fixed result even if executors are lost."""
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def lookup_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A table for the small side of a join: broadcast if it has at most ``max_rows`` rows.
-
-    Such a table is fetched once and put into the plan as it is. Beyond that size it is returned
-    unchanged and the join shuffles.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema, verifySchema=False))

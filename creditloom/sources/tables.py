@@ -33,10 +33,13 @@ def read_raw_snapshots(
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a table? One that is there but cannot be read is an error, not a missing one."""
     try:
         spark.read.parquet(path)
-    except AnalysisException:
-        return False
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
     return True
 
 

@@ -83,3 +83,15 @@ def test_bands(spark):
     assert [r["row_count"] for r in got] == [25, 25, 25, 25]
     assert got[0]["score_band"] == "(0.009000000000000001, 0.258]"
     assert got[-1]["score_band"] == "(0.752, 1.0]"
+
+
+def test_a_model_without_scores_keeps_its_row(spark):
+    rows = [("a", 0.2, 0, 0), ("a", 0.8, 1, 1), ("b", None, 0, 0)]
+    df = spark.createDataFrame(
+        rows, "model_version string, model_predictions double, predicted_label int, actual_label int"
+    ).selectExpr(
+        "*", "date'2024-01-01' AS prediction_snapshot_date", "date'2024-07-01' AS label_snapshot_date",
+        "0.5D AS prediction_threshold",
+    )
+    got = evaluation.performance_summary(df, "2024-08-01").collect()
+    assert sorted((r.model_version, r.auc) for r in got) == [("a", 1.0)] * 2 + [("b", None)] * 2

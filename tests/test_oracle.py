@@ -17,7 +17,8 @@ def connection(sf_dir):
 
 def test_every_statement_has_a_query():
     assert set(SQL) <= set(queries())
-    assert set(queries()) - set(SQL) == {
+    own = {name for name in queries() if not name.startswith("op") and name != "pipeline"}
+    assert own - set(SQL) == {
         "logreg_train_score", "gbt_train_score", "platt_calibrate", "bootstrap_sample",
     }
 

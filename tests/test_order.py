@@ -1,4 +1,4 @@
-"""Exact order statistics against numpy and pandas, also on the narrowed-down way."""
+"""Exact order statistics against numpy and pandas."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from creditloom import session
 from creditloom.operators import ordering, quantiles, sampling
 
 
@@ -32,14 +31,12 @@ def skewed(spark):
     return df, pdf
 
 
-@pytest.mark.parametrize("direct_rows", [10**6, 50])
-def test_column_quantiles(skewed, direct_rows):
+def test_column_quantiles(skewed):
     df, pdf = skewed
     got = quantiles.column_quantiles(
         df,
         {"v": F.col("v"), "w": F.col("w"), "none": F.lit(None).cast("double")},
         quantiles.even_fractions(10),
-        direct_rows,
     )
     for name in ("v", "w"):
         np.testing.assert_allclose(got[name], np.quantile(pdf[name], np.linspace(0, 1, 11)), rtol=1e-12)
@@ -49,7 +46,7 @@ def test_column_quantiles(skewed, direct_rows):
 def test_column_quantiles_do_not_need_a_good_sketch(skewed, monkeypatch):
     df, pdf = skewed
     monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 4)
-    got = quantiles.column_quantiles(df, {"w": F.col("w")}, [Fraction(1, 100), Fraction(99, 100)], 10)
+    got = quantiles.column_quantiles(df, {"w": F.col("w")}, [Fraction(1, 100), Fraction(99, 100)])
     np.testing.assert_allclose(got["w"], np.quantile(pdf["w"], [0.01, 0.99]), rtol=1e-12)
 
 
@@ -57,7 +54,7 @@ def test_column_quantiles_do_not_need_a_good_sketch(skewed, monkeypatch):
 @given(st.lists(st.one_of(st.none(), st.floats(-1e6, 1e6), st.just(float("nan"))), min_size=1, max_size=30))
 def test_column_quantiles_property(spark, numbers):
     df = spark.createDataFrame([(x,) for x in numbers], "v double")
-    got = quantiles.column_quantiles(df, {"v": F.col("v")}, quantiles.even_fractions(4), 3)["v"]
+    got = quantiles.column_quantiles(df, {"v": F.col("v")}, quantiles.even_fractions(4))["v"]
     kept = [x for x in numbers if x is not None and x == x]
     if not kept:
         assert got is None
@@ -74,12 +71,8 @@ def test_group_quantiles(skewed):
     np.testing.assert_allclose(got[["q1", "q2"]].to_numpy(), want.to_numpy())
 
 
-@pytest.mark.parametrize("broadcast_rows", [100_000, 1])
-def test_row_number(skewed, monkeypatch, broadcast_rows):
+def test_row_number(skewed):
     df, pdf = skewed
-    monkeypatch.setattr(
-        ordering, "lookup_side", lambda d: session.lookup_side(d, broadcast_rows)
-    )
     got = ordering.with_row_number(df, ["g"], ["v", "key"], "n").toPandas()
     got = got.sort_values(["g", "v", "key"])
     assert len(got) == len(pdf)
@@ -118,3 +111,39 @@ def test_bootstrap(skewed):
     n = drawn.count()
     assert abs(n - len(pdf)) < 0.1 * len(pdf)
     assert drawn.select("key").distinct().count() < n
+
+
+def test_bootstrap_repeats_on_any_partitioning(skewed):
+    df, _ = skewed
+    draws = [
+        sorted(r.key for r in sampling.bootstrap_sample(df.repartition(n), 0.7, 5, ["key"]).collect())
+        for n in (3, 7)
+    ]
+    assert draws[0] == draws[1]
+
+
+def test_numbers_without_order(skewed):
+    df, pdf = skewed
+    got = ordering.numbered(df, ["g"], "n").toPandas()
+    for group, rows in got.groupby("g"):
+        assert sorted(rows["n"]) == list(range(1, len(rows) + 1))
+
+
+@pytest.mark.parametrize("copies", [1, 10])
+def test_holdout_of_equal_rows_is_exact(spark, copies):
+    rows = [("a", "x")] * 10 * copies + [("b", f"k{i}") for i in range(25)]
+    df = spark.createDataFrame(rows, "label string, key string")
+    got = sampling.with_stratified_holdout(df, "label", ["key"], "0.2")
+    assert got.count() == len(rows) and got.columns == ["label", "key", "holdout"]
+    held = {r.label: r["count"] for r in got.where("holdout").groupBy("label").count().collect()}
+    assert held == {"a": 2 * copies, "b": 5}
+
+
+def test_quantile_plan_gathers_no_values(skewed, monkeypatch):
+    df, _ = skewed
+    plans = []
+    real = quantiles.with_running_totals
+    monkeypatch.setattr(quantiles, "with_running_totals", lambda d, *a: plans.append(d) or real(d, *a))
+    quantiles.column_quantiles(df, {"v": F.col("v")}, [Fraction(1, 2)])
+    assert len(plans) == 1
+    assert "collect_list" not in plans[0]._jdf.queryExecution().toString()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from creditloom.constants import MODEL_TYPES
 from verification.views import DRIFT_FROM, FEATURE_SNAPSHOT
 
 EVALUATION_DATE = "2001-01-01"
@@ -710,9 +711,9 @@ def statements() -> dict[str, str]:
         "psi_score psi_previous psi_change psi_change_pct",
     )
     sql["retrain_decision"] = _shaped(
-        """SELECT snapshot_date, model_type, psi_score >= 0.02 AS retrain_required
-        FROM monitored, (VALUES ('xgboost'), ('log_reg')) t(model_type)""",
-        "snapshot_date",
+        f"""SELECT model_type, model_type = '{MODEL_TYPES[0]}' AND psi_score >= 0.02 AS retrain_required
+        FROM monitored, (VALUES ('xgboost'), ('log_reg')) t(model_type)
+        WHERE snapshot_date = (SELECT max(snapshot_date) FROM monitored)"""
     )
     sql["top_levels"] = _shaped(
         """SELECT feature_name, level, row_count, level_rank::INTEGER AS level_rank
