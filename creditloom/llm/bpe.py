@@ -36,7 +36,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class PrefixCoder:
     """Encodes byte pieces with a table of merge ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], memory: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], memory: int = 300_000):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
@@ -178,7 +178,7 @@ class TextCoder:
         self.coder = PrefixCoder(ranks)
         self._matches = regex.compile(pattern).findall
         self._known: dict[str, tuple[int, ...]] = {}
-        self._cache = PieceCache(self._parts)
+        self._cache = PieceCache(self._parts, 300_000)
         tokens = [self.coder.bytes_of.get(i, b"") for i in range(max(self.coder.bytes_of) + 1)]
         self._sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self._starts = np.cumsum(self._sizes) - self._sizes
@@ -186,7 +186,7 @@ class TextCoder:
 
     def _parts(self, parts: list) -> tuple[np.ndarray, np.ndarray]:
         """A part at the start of a text comes as a tuple, any other one lost a space before it."""
-        if len(self._known) > 300_000:
+        if len(self._known) > 150_000:
             self._known.clear()
         ids: list[int] = []
         ends = []
