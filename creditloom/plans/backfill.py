@@ -97,5 +97,5 @@ def require_complete(status: DataFrame) -> None:
         .collect()
     )
     if gaps:
-        named = ", ".join(f"{row['table_name']} ({row['n']}): {row['months']}" for row in gaps)
+        named = ", ".join(f"{row['table_name']} {row['months']} ({row['n']})" for row in gaps)
         raise ValueError(f"months without rows: {named}")
