@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from creditloom.llm.pieces import PieceCache, spans, sums
@@ -40,12 +41,12 @@ class PrefixCoder:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        # Sizes of the tokens with the same last three bytes, largest first.
+        # Sizes of the tokens with the same last four bytes, largest first.
         sizes: dict[bytes, set[int]] = {}
         for token in ranks:
-            if len(token) > 2:
-                sizes.setdefault(token[-3:], set()).add(len(token))
-        self._sizes = {tail: (*sorted(found, reverse=True), 2, 1) for tail, found in sizes.items()}
+            if len(token) > 3:
+                sizes.setdefault(token[-4:], set()).add(len(token))
+        self._sizes = {tail: (*sorted(found, reverse=True), 3, 2, 1) for tail, found in sizes.items()}
         self._memory = memory
         self._follows: dict[tuple[int, int], bool] = {}
         self._last: dict[bytes, int] = {}
@@ -79,9 +80,10 @@ class PrefixCoder:
 
     def _ending(self, text: bytes, end: int, last) -> int:
         """The last token of ``text[:end]``; ``last(i)`` gives that of the shorter prefixes."""
-        for size in self._sizes.get(text[max(0, end - 3) : end], (2, 1)):
+        rank = self.ranks.get
+        for size in self._sizes.get(text[max(0, end - 4) : end], (3, 2, 1)):
             if size <= end:
-                token = self.ranks.get(text[end - size : end])
+                token = rank(text[end - size : end])
                 if token is not None and (size == end or self.follows(last(end - size), token)):
                     return token
         raise ValueError("the ranks lack a byte")
@@ -96,10 +98,11 @@ class PrefixCoder:
         if len(self._last) >= self._memory:
             self._last.clear()
         memo = self._last
-        for end in range(1, len(piece) + 1):
-            prefix = piece[:end]
-            if prefix not in memo:
-                memo[prefix] = self._ending(piece, end, lambda i: memo[piece[:i]])
+        known = len(piece)
+        while known and piece[:known] not in memo:  # all prefixes of a kept prefix are kept
+            known -= 1
+        for end in range(known + 1, len(piece) + 1):
+            memo[piece[:end]] = self._ending(piece, end, lambda i: memo[piece[:i]])
         ids, end = [], len(piece)
         while end:
             token = memo[piece[:end]]
@@ -164,6 +167,9 @@ class PrefixTable:
 _LOOSE_SPACE = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r" (?=\S)")
 
+# Characters (or bytes) worked on at a time, which bounds a worker's memory and changes no result.
+BLOCK = 1 << 18
+
 
 class TextCoder:
     """Encodes whole texts and decodes their ids.
@@ -203,22 +209,46 @@ class TextCoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end and how many each has."""
-        parts: list = []
-        counts = []
-        for text in texts:
-            own: list = []
-            if text:
-                own = _CUT.split(text) if _LOOSE_SPACE.search(text) else text.split(" ")
-                own[0] = (own[0],)
-            parts += own
-            counts.append(len(own))
-        ids, sizes = self._cache.ids(parts)
-        return ids, sums(sizes, np.array(counts, np.int64))
+        counts = np.zeros(len(texts), np.int64)
+        found, parts, owners, sizes, held = [], [], [], [], 0
+
+        def flush() -> None:
+            ids, each = self._cache.ids(parts)
+            np.add.at(counts, np.array(owners, np.int64), sums(each, np.array(sizes, np.int64)))
+            found.append(ids)
+            for filled in (parts, owners, sizes):
+                filled.clear()
+
+        for place, text in enumerate(texts):
+            for start, segment in _segments(text or ""):
+                own: list = _CUT.split(segment) if _LOOSE_SPACE.search(segment) else segment.split(" ")
+                if start == 0:
+                    own[0] = (own[0],)
+                parts += own
+                owners.append(place)
+                sizes.append(len(own))
+                held += len(segment)
+                if held >= BLOCK:
+                    flush()
+                    held = 0
+        flush()
+        return np.concatenate(found), counts
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ids end to end and how many each id has."""
         sizes = self._sizes[ids]
-        return self._bytes[spans(self._starts[ids], sizes)], sizes
+        starts = self._starts[ids]
+        blocks = [slice(i, i + BLOCK // 4) for i in range(0, max(1, len(ids)), BLOCK // 4)]
+        return np.concatenate([self._bytes[spans(starts[b], sizes[b])] for b in blocks]), sizes
+
+
+def _segments(text: str) -> Iterator[tuple[int, str]]:
+    """The text in segments of about ``BLOCK`` characters with their places, cut where parts are."""
+    start = 0
+    while start < len(text):
+        cut = _CUT.search(text, start + BLOCK) if len(text) - start > BLOCK else None
+        yield start, text[start : cut.start()] if cut else text[start:]
+        start = cut.end() if cut else len(text)
 
 
 _CODERS: dict[tuple[str, str], TextCoder] = {}
@@ -231,10 +261,14 @@ def text_coder(ranks_path: str, pattern: str) -> TextCoder:
     return _CODERS[ranks_path, pattern]
 
 
-def _pieces_of(batch: pa.RecordBatch, rows: int = 256):
+def _pieces_of(batch: pa.RecordBatch):
+    """Slices of about ``BLOCK`` bytes of text, never less than one document."""
     names, texts = batch.column("doc_id"), batch.column("text")
-    for first in range(0, batch.num_rows, rows):
-        yield names.slice(first, rows), texts.slice(first, rows).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    block = (np.cumsum(lengths, dtype=np.int64) + np.arange(batch.num_rows)) // BLOCK
+    edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+    for first, end in zip(edges, edges[1:]):
+        yield names.slice(first, end - first), texts.slice(first, end - first).to_pylist()
 
 
 def token_ids(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
