@@ -69,13 +69,14 @@ class PrefixCoder:
 
     def follows(self, left: int, right: int) -> bool:
         """May ``right`` stand behind ``left`` in an encoding?"""
-        known = self._follows.get((left, right))
+        pair = left << 32 | right
+        known = self._follows.get(pair)
         if known is None:
             joined = self.bytes_of[left] + self.bytes_of[right]
             known = joined not in self.ranks and self.merged(joined) == [left, right]
             if len(self._follows) >= self._memory:
                 self._follows.clear()
-            self._follows[left, right] = known
+            self._follows[pair] = known
         return known
 
     def _ending(self, text: bytes, end: int, last) -> int:
@@ -88,6 +89,14 @@ class PrefixCoder:
                     return token
         raise ValueError("the ranks lack a byte")
 
+    def _last_of(self, prefix: bytes) -> int:
+        """The kept last token of a prefix, found on first use with those it depends on."""
+        token = self._last.get(prefix)
+        if token is None:
+            token = self._ending(prefix, len(prefix), lambda end: self._last_of(prefix[:end]))
+            self._last[prefix] = token
+        return token
+
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece. Prefixes of short pieces are kept, as other pieces share them."""
         whole = self.ranks.get(piece)
@@ -97,17 +106,10 @@ class PrefixCoder:
             return PrefixTable(self, piece).ids()
         if len(self._last) >= self._memory:
             self._last.clear()
-        memo = self._last
-        known = len(piece)
-        while known and piece[:known] not in memo:  # all prefixes of a kept prefix are kept
-            known -= 1
-        for end in range(known + 1, len(piece) + 1):
-            memo[piece[:end]] = self._ending(piece, end, lambda i: memo[piece[:i]])
-        ids, end = [], len(piece)
-        while end:
-            token = memo[piece[:end]]
-            ids.append(token)
-            end -= len(self.bytes_of[token])
+        ids = []
+        while piece:
+            ids.append(self._last_of(piece))
+            piece = piece[: -len(self.bytes_of[ids[-1]])]
         return ids[::-1]
 
 
