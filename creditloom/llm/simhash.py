@@ -18,10 +18,17 @@ are made and met. Buckets are sized by the number of distinct fingerprints, so t
 
 Null and empty texts have fingerprint zero and link like any others. Repeated rows and texts meet
 in their fingerprint. Null ids take part, but no component is named after one.
+
+A few bits reach only near-identical texts: 0.8 of common shingles is about ten bits of 64. So
+``deduplicated`` can go by the shingle sets instead. Texts with a Jaccard similarity of at least
+``t`` share one of their ``n - ceil(t n) + 1`` smallest shingle hashes, so those are what texts meet
+at; lengths and places there rule out most pairs, and the others are counted on the whole sets.
+Where more than ``CROWD`` texts share a hash, each is compared with ``LEADERS`` of them only.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,6 +45,9 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 3
 BITS = 64
+CROWD = 32  # texts at one shingle hash that are compared pair by pair
+LEADERS = 8
+CANDIDATE_BITS = 26  # of the table that tells texts without a candidate
 BUCKET_FINGERPRINTS = 4_000  # wanted of distinct fingerprints to a bucket's own bits
 
 _FLIPS = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
@@ -47,24 +57,29 @@ _HALF = BITS // 2
 # --- Fingerprints ---------------------------------------------------------------------------
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of one whole text, as an unsigned number."""
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """The hashes of a text's word shingles in order; a text without words has none."""
     from xxhash import xxh64_intdigest
 
     found = text.encode().lower().split() if text else []  # bytes: only A-Z and ASCII white space
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
     ends = np.cumsum(sizes) - 1
     width = min(shingle, len(found))
     starts = (ends - sizes + 1)[: len(found) - width + 1].tolist()
     view = memoryview(joined)
-    hashes = np.fromiter(
+    return np.fromiter(
         (xxh64_intdigest(view[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist())),
         np.uint64,
         len(starts),
     )
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of one whole text, as an unsigned number."""
+    hashes = shingle_hashes(text, shingle, seed)
     counts = np.zeros(BITS, np.int64)
     for first in range(0, len(hashes), 4096):
         octets = hashes[first : first + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -236,15 +251,131 @@ def groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+# --- Similar shingle sets -------------------------------------------------------------------
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes in rising order; all texts without words have the same one."""
+    found = np.unique(shingle_hashes(text, shingle, SEED).view(np.int64))
+    return found if len(found) else np.zeros(1, np.int64)
+
+
+def _least(n: int, similarity: float) -> int:
+    """Of ``n`` shingles, those that a text with the similarity has at least."""
+    return max(1, math.ceil(similarity * n - 1e-9))
+
+
+def _prefixes(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``tie, n, prefix`` of each text: the number of its shingles and the smallest hashes."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text.as_py(), shingle) for text in batch.column("text")]
+            prefixes = [x[: len(x) - _least(len(x), similarity) + 1] for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("tie"),
+                    pa.array([len(x) for x in sets], pa.int32()),
+                    pa.array(prefixes, pa.list_(pa.int64())),
+                ],
+                ["tie", "n", "prefix"],
+            )
+
+    return keyed.select("tie", "text").mapInArrow(rows, "tie long, n int, prefix array<long>")
+
+
+def _candidates(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of texts that may be similar, ``a`` the smaller one."""
+    posted = prefixes.select("tie", "n", F.posexplode("prefix").alias("at", "hash"))
+    counts = posted.groupBy("hash").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    shared = materialize(posted.join(counts, "hash"))
+    one = F.struct("tie", "n", "at")
+    few = (
+        shared.where(F.col("met") <= CROWD)
+        .groupBy("hash")
+        .agg(F.collect_list(one).alias("all"))
+        .select("all", F.explode("all").alias("x"))
+        .select("x", F.explode("all").alias("y"))
+    )
+    crowd = shared.where(F.col("met") > CROWD)
+    leaders = (
+        crowd.groupBy("hash", F.pmod("tie", F.lit(LEADERS)).alias("slot"))
+        .agg(F.min(one).alias("leader"))
+        .groupBy("hash")
+        .agg(F.collect_list("leader").alias("leaders"))
+    )
+    many = crowd.join(leaders, "hash").select(one.alias("x"), F.explode("leaders").alias("y"))
+    # If the hash is the first common one, no more than what follows it can be common.
+    most = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
+    wanted = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    a, b = F.col("x.tie"), F.col("y.tie")
+    met = few.where("x.tie < y.tie").union(many.where("x.tie <> y.tie")).where(most >= wanted)
+    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def similar(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of the ``tie`` of texts whose shingle sets have the Jaccard similarity."""
+    # Equal texts have equal shingles; one row of them is enough.
+    prefixes = _prefixes(keyed, shingle, similarity).groupBy("tie").agg(
+        F.first("n").alias("n"), F.first("prefix").alias("prefix")
+    )
+    pairs = materialize(_candidates(prefixes, similarity))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("tie")).distinct()
+    # The table keeps texts without a candidate from being cut into shingles again.
+    spot = F.pmod("tie", F.lit(1 << CANDIDATE_BITS))
+    marks = nodes.groupBy(F.bitmap_bucket_number(spot).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")
+    )
+    table = {row["bucket"]: np.frombuffer(bytes(row["bits"]), np.uint8) for row in marks.collect()}
+    if not table:
+        return pairs
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            ties, sets = [], []
+            for tie, text in zip(batch.column("tie").to_pylist(), batch.column("text")):
+                # Spark counts a bitmap's numbers from 1, in buckets from 1.
+                at = tie % (1 << CANDIDATE_BITS) - 1
+                bits = table.get(at // 32768 + 1) if at >= 0 else table.get(0)
+                place = at % 32768 if at >= 0 else 0
+                if bits is not None and bits[place >> 3] >> (place & 7) & 1 and tie not in seen:
+                    seen.add(tie)
+                    ties.append(tie)
+                    sets.append(shingle_set(text.as_py(), shingle))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ties, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["tie", "shingles"]
+            )
+
+    known = (
+        keyed.select("tie", "text")
+        .mapInArrow(rows, "tie long, shingles array<long>")
+        .join(nodes, "tie", "left_semi")
+        .groupBy("tie")
+        .agg(F.first("shingles").alias("shingles"))
+    )
+    known = materialize(known)
+    both = pairs.join(known.toDF("a", "left"), "a").join(known.toDF("b", "right"), "b")
+    common = F.size(F.array_intersect("left", "right"))
+    union = F.size("left") + F.size("right") - common
+    return both.where(common >= similarity * union - 1e-9).select("a", "b")
+
+
+def deduplicated(docs: DataFrame, shingle: int | None = None, similarity: float | None = None) -> DataFrame:
     """All columns of one document of each group: that with the smallest id (null last).
 
-    Rows are told apart by id and a hash of the text; of equal rows one stays.
+    Texts link by their fingerprints, or, if ``shingle`` and ``similarity`` are given, by the
+    Jaccard similarity of their sets of shingles of so many words. Rows are told apart by id and a
+    hash of the text; of equal rows one stays.
     """
     keyed = docs.select(
         F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"), "text", F.struct("*").alias("row")
     )
-    marked, roots = near_duplicates(keyed.select("id", "tie", "text"), ["id", "tie"])
+    if similarity is None:
+        marked, roots = near_duplicates(keyed.select("id", "tie", "text"), ["id", "tie"])
+    else:
+        marked = keyed.select("id", "tie", F.col("tie").alias("fp"))
+        roots = materialize(components(similar(keyed, shingle, similarity)).toDF("fp", "root"))
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "tie")
     best = marked.groupBy("fp").agg(F.min(place).alias("best"))
     kept = (

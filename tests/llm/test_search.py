@@ -139,6 +139,45 @@ def test_one_row_of_each_group_stays(edge_documents, no_documents):
     assert simhash.deduplicated(no_documents).count() == 0 and simhash.groups(no_documents).count() == 0
 
 
+def plain_shingles(text):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([tuple(words)])
+
+
+def test_all_similar_texts_are_found(spark, sf_dir):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(40, 200))]
+        for changes in (0, 1, 2, 3, 4, 6):
+            other = list(words)
+            for place in rng.sample(range(len(words)), changes):
+                other[place] = "changed"
+            texts.append(" ".join(other))
+    texts += ["", None, " ", "one", "One ", "two words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = docs.select(F.xxhash64("text").alias("tie"), "text")
+    sets = [plain_shingles(t) for t in texts]
+    ties = [r.tie for r in keyed.collect()]
+    want = {
+        tuple(sorted((ties[i], ties[j])))
+        for i in range(len(sets)) for j in range(i)
+        if ties[i] != ties[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9
+    }
+    assert len(want) > 30
+    found = simhash.similar(keyed, 5, 0.8).collect()
+    assert {(r.a, r.b) for r in found} == want and len(found) == len(want)
+    # Crowds are compared with leaders, which link the same documents here.
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()}
+    many = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(100)) + f" end{i}") for i in range(90)], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, many, sf_dir).collect()] == [0]
+    parent = {t: t for t in ties}
+    for _ in ties:
+        for a, b in want:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    assert kept == {min(i for i, t in enumerate(ties) if parent[t] == root) for root in set(parent.values())}
+
+
 # --- Mixing ---------------------------------------------------------------------------------
 
 
