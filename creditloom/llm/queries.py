@@ -32,8 +32,9 @@ def op2_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A verdict per page: the rule list's, else that of rules mined from the pages it judges."""
-    return urls.judge(table(spark, sf_dir, "pages"))
+    """A verdict per page: the rule list's, else that of rules mined from pages of labelled documents."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, labels=urls.document_labels(pages, table(spark, sf_dir, "labels")))
 
 
 def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

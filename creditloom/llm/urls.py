@@ -7,7 +7,8 @@ Rules are matched by an inverted index from each rule's rarest token to the rule
 only the rules filed under its own tokens and checks that it holds the other tokens.
 
 Null URLs and URLs without ``://`` have an empty host and path and no tokens; they get the default
-verdict. Repeated rows are judged alike. An empty or unlabelled table mines no rules.
+verdict. Repeated rows are judged alike. An empty or unlabelled table mines no rules. The list's own
+verdicts are never mined: that would only restate its host endings and path words where it is silent.
 
 Everything is a DataFrame expression. What reaches the driver is the mined rules. Their number is
 bounded by the support: a combination is kept only if a share ``min_support`` of the labelled
@@ -176,11 +177,27 @@ def mined_rule(tokens_: Column, rules: list[MinedRule]) -> Column:
     return F.when(F.size(matching) > 0, F.element_at(F.array(*map(F.lit, best_first)), ranked + 1))
 
 
+def document_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """``url, label`` of the pages whose path ends in the number of a document in ``labels``.
+
+    ``labels`` has ``doc_id, quality, toxic``; a page is to be blocked if any row of its document
+    says that it is toxic or of low quality.
+    """
+    bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
+    known = (
+        labels.where(F.col("doc_id").isNotNull())
+        .groupBy(F.col("doc_id").cast("long").alias("number"))
+        .agg(F.when(F.max(bad), F.lit("block")).otherwise(F.lit("allow")).alias("label"))
+    )
+    number = F.regexp_extract(path(F.col("url")), r"/([0-9]+)(?:\.[a-z]+)?/?$", 1).try_cast("long")
+    return pages.select("url", number.alias("number")).join(known, "number").select("url", "label")
+
+
 def judge(pages: DataFrame, key: str = "page_id", listed=LISTED, labels: DataFrame | None = None) -> DataFrame:
     """A verdict for each row of ``pages`` (``key``, ``url``); other columns are ignored.
 
-    ``labels`` (``url``, ``label``) are what rules are mined from. Without it, pages that the list
-    judges are the labelled ones, and the mined rules carry its verdicts over to the others.
+    ``labels`` (``url``, ``label``) are what rules are mined from. Without it, the list and the
+    default judge alone.
     """
     verdicts = dict((rule.text, rule.verdict) for rule in listed)
 
@@ -200,18 +217,15 @@ def judge(pages: DataFrame, key: str = "page_id", listed=LISTED, labels: DataFra
         )
 
     judged = split(pages, key)
-    if labels is None:
-        basis = judged.select("tokens", of_rule(F.col("rule")).alias("label"))
-    else:
-        basis = split(labels, "label").select("tokens", "label")
-    rules = mine(basis)
+    rules = [] if labels is None else mine(split(labels, "label").select("tokens", "label"))
     found = judged.withColumn("place", mined_rule(F.col("tokens"), rules))
     by_rule = F.lit(None).cast("string")
     names = F.lit(None).cast("string")
     if rules:
-        at = F.col("place") + 1
-        by_rule = F.element_at(F.array(*[F.lit(rule.verdict) for rule in rules]), at)
-        names = F.element_at(F.array(*[F.lit(" ".join(rule.tokens)) for rule in rules]), at)
+        fits, at = F.col("place").isNotNull(), F.col("place") + 1
+        # Spark takes an element of an array without nulls as never null, at a null place too.
+        by_rule = F.when(fits, F.element_at(F.array(*[F.lit(rule.verdict) for rule in rules]), at))
+        names = F.when(fits, F.element_at(F.array(*[F.lit(" ".join(rule.tokens)) for rule in rules]), at))
     return found.select(
         key,
         "host",

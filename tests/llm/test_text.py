@@ -110,6 +110,18 @@ def test_labels_decide_where_no_list_rule_does(spark):
     assert {r.page_id: r.verdict for r in urls.judge(pages, labels=labels).collect()} == {1: "block", 2: "allow"}
 
 
+def test_labels_of_documents_decide_and_not_the_list(spark):
+    given = [f"http://h{i}.example.org/{'de' if i % 2 else 'es'}/{i}{('', '/', '.html')[i % 3]}?x" for i in range(1, 61)]
+    given += [f"http://h.example.com/de/{i}" for i in range(61, 121)] + ["http://no.rule/fits"]
+    pages = spark.createDataFrame(list(enumerate(given, 1)), "page_id long, url string")
+    # The list blocks example.com/de/ and says nothing of example.org/de/.
+    assert {r.verdict for r in urls.judge(pages).where("page_id <= 60").collect()} == {"allow"}
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(1, 61)] + [(1, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    found = urls.judge(pages, labels=urls.document_labels(pages, labels)).collect()
+    assert all(r.verdict == ("block" if r.page_id > 60 or r.page_id % 2 == 0 else "allow") for r in found if r.page_id < 121)
+    assert [(r.verdict, r.mined_tokens) for r in found if r.page_id == 121] == [("allow", None)]
+
+
 def test_urls_without_rows_or_rules(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge(empty).count() == 0
