@@ -5,7 +5,8 @@ characters and tags in links (the composite text density); an element's density
 children's densities. The element with the largest sum is the core of the article, and the lowest
 density on the path from the body to it is the threshold: subtrees off that path count as content
 if they reach it, the others are dropped. Menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and comments are known by their element, role or class and never count. If
+forms, scripts, styles and comments are known by their element, role, class or id and never count; an
+element so called by class or id that holds most of the page's plain text counts all the same. If
 the core lies in an ``article`` or ``main`` element, that element bounds the text and is taken
 whole.
 
@@ -42,6 +43,11 @@ NOISE_NAMES = frozenset(
     " newsletter notice notices notification pagination popup promo related share sharing sidebar"
     " social sponsor sponsored subscribe toolbar widget".split()
 )
+# Beside a noise name these leave it one, as in "site-footer"; "has-sidebar" and "related-work" are none.
+PLACE_NAMES = frozenset(
+    "area bar block bottom box container global inner left list main outer page primary right secondary"
+    " section site slot top wrap wrapper".split()
+)
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption"
     " figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section"
@@ -67,39 +73,74 @@ _TAG = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
-_MARKS = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+
 _NAMES = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("name", "noise", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "noise", "named", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, name: str, noise: bool = False):
+    def __init__(self, name: str, noise: bool = False, named: bool = False):
         self.name = name
         self.noise = noise
+        self.named = named  # noise by class or id alone, unless it holds most of the page's text
         self.children: list[Element | str] = []
 
 
-def _is_noise(name: str, attributes: str) -> bool:
+def _attributes(text: str) -> dict[str, str]:
+    """Values by lower-case name; of a repeated name the first counts, as in browsers."""
+    found: dict[str, str] = {}
+    for match in _ATTRIBUTE.finditer(text):
+        if match[1]:
+            found.setdefault(match[1].lower(), (match[2] or match[3] or match[4] or "").lower())
+    return found
+
+
+def _noise(name: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is noise by its kind, role or hiding, and whether by class or id."""
     if name in NOISE:
-        return True
+        return True, False
     if not attributes or name in ("body", "html"):
-        return False
-    for found in _MARKS.finditer(attributes):
-        mark = found[1].lower()
-        value = (found[2] or found[3] or found[4] or "").lower()
-        if mark == "role":
-            if value.strip() in NOISE_ROLES:
-                return True
-        elif mark == "hidden" or mark == "aria-hidden":
-            if mark == "hidden" or value == "true":
-                return True
-        elif not NOISE_NAMES.isdisjoint(
-            # An article marked, say, "post has-comments" is one all the same.
-            value.split() if name in ("article", "main") else _NAMES.findall(value)
-        ):
-            return True
-    return False
+        return False, False
+    marks = _attributes(attributes)
+    if "hidden" in marks or marks.get("aria-hidden") == "true" or marks.get("role", "").strip() in NOISE_ROLES:
+        return True, False
+    names = f"{marks.get('class', '')} {marks.get('id', '')}".split()
+    if not NOISE_NAMES.isdisjoint(names):
+        return False, True
+    # An article marked, say, "post comments-list" is one all the same.
+    return False, name not in ("article", "main") and any(
+        not NOISE_NAMES.isdisjoint(parts) and NOISE_NAMES | PLACE_NAMES >= set(parts)
+        for parts in map(_NAMES.findall, names)
+    )
+
+
+def _settle(root: Element) -> None:
+    """Turn elements that are noise by name into noise, but for those that hold the page's article.
+
+    That is one with most of the plain text (not in links) and no ``article`` or ``main`` outside.
+    """
+    order, waiting = [], [root]
+    while waiting:
+        element = waiting.pop()
+        order.append(element)
+        waiting += [c for c in element.children if not isinstance(c, str) and not c.noise]
+    if not any(element.named for element in order):
+        return
+    for element in reversed(order):
+        element.chars, element.tags = 0, element.name in ("article", "main")  # plain text, articles
+        for child in element.children:
+            if isinstance(child, str):
+                element.chars += len("".join(child.split()))
+            elif not child.noise:
+                element.chars += child.chars
+                element.tags += child.tags
+        if element.name == "a":
+            element.chars = 0
+    for element in order:
+        if element.named:
+            element.noise = 2 * element.chars <= root.chars or element.tags < root.tags
 
 
 def parse(page: str) -> Element:
@@ -113,6 +154,7 @@ def parse(page: str) -> Element:
         if text:
             stack[-1].children.append(text)
         if not found:
+            _settle(root)
             return root
         at = found.end()
         if found[2] is None:
@@ -144,7 +186,7 @@ def parse(page: str) -> Element:
                     del stack[depth:]
                     if name not in ("tr", "tbody"):
                         break
-        element = Element(name, _is_noise(name, found[3]))
+        element = Element(name, *_noise(name, found[3]))
         stack[-1].children.append(element)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)

@@ -242,6 +242,27 @@ def test_main_text(page):
     assert extraction.main_text(page) == PAGES[page]
 
 
+@pytest.mark.parametrize(
+    "mark",
+    [
+        'style="overflow:hidden"', "style='overflow: hidden'", 'title="a hidden gem"', 'data-role="menu"', "data-hidden=no",
+        'class="layout has-sidebar"', 'id="content-with-sidebar"', 'class="no-comments"', 'class="related-work"', 'class="widget"',
+    ],
+)
+def test_marks_are_read_by_name_and_whole(mark):
+    prose = "Long body text, with words. " * 9
+    page = "<body><div class='site-footer'>foot</div><div {}><p>{}</p></div><div class='cookie-banner'>Cookies!</div></body>"
+    assert extraction.main_text(page.format(mark, prose)) == prose.strip()
+    assert extraction.main_text(f"<article {mark.replace('widget', 'post')}><p>{prose}</p></article>") == prose.strip()
+    for gone in ("hidden", "HIDDEN=''", "aria-hidden=true", "role='menu'", "id=sidebar", "class='x ad'"):
+        assert extraction.main_text(f"<main><p>kept</p><p {gone}>gone</p><p {mark.replace('widget', 'x')}>too</p></main>") == "kept\n\ntoo"
+
+
+def test_long_comments_beside_an_article_go():
+    page = "<article><p>short</p></article><div class=comments><p>" + "A long comment. " * 30 + "</p></div>"
+    assert extraction.main_text(page) == "short"
+
+
 def test_every_real_page_gives_its_article(spark, sf_dir):
     rows = extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).join(
         spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id"
