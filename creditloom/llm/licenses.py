@@ -6,8 +6,9 @@ sequence of identifiers that stands for a licence, are matched against it. A mat
 the sequence, so a rule for a whole notice comes before rules for its single sentences. Sentences
 without an identifier between two known ones don't separate them.
 
-A sentence ends at a mark followed by white space. If it is unknown, its lines are tried as
-sentences, so a notice below a line without a final mark is still seen.
+A sentence ends at a mark followed by white space. If it is unknown, runs of its neighbouring lines
+without an empty one between are tried as sentences, the longest known one at each line, so a
+hard-wrapped notice below a line without a final mark is still seen.
 
 Null and empty texts have no sentences. Every row is judged by itself with column expressions;
 repeated rows are alike, and other columns are ignored.
@@ -102,6 +103,24 @@ RULES = (
     ("All-rights-reserved", ("reserved",)),
 )
 
+# Fixed values beyond the SQL twin's: usual texts of which none is in the given tables.
+FURTHER_SENTENCES = {
+    "mit-title-twice": "the mit license mit",
+    "gpl-redistribute-or-2": f"{SENTENCES['gpl-redistribute-2']} {SENTENCES['gpl-either-2']}",
+    "gpl-redistribute-or-3": f"{SENTENCES['gpl-redistribute-2']} {SENTENCES['gpl-either-3']}",
+}
+WHOLE_RULES = (
+    ("MIT", ("mit-title-twice", "mit-grant", "mit-notice", "mit-as-is", "mit-liability")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-redistribute-or-3", "gpl-hope", "gpl-implied", "gpl-see")),
+    ("GPL-2.0-or-later", ("gpl-free", "gpl-redistribute-or-2", "gpl-hope", "gpl-implied", "gpl-see")),
+)
+SINGLE_RULES = (
+    ("GPL-3.0-or-later", ("gpl-redistribute-or-3",)),
+    ("GPL-2.0-or-later", ("gpl-redistribute-or-2",)),
+    ("MIT", ("mit-title-twice",)),
+    ("MIT", ("mit-title-short",)),
+)
+
 END_OF_SENTENCE = r"([.!?:;])[ \t\n\f\r]+"
 CUT = "\x01"
 NOT_IN_WORDS = r"[^\p{L}\p{N}.]+"
@@ -113,17 +132,28 @@ def normalised(sentence: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(sentence), NOT_IN_WORDS, " "), EDGES, "")
 
 
+def _lines_pattern() -> str:
+    """Matches a known sentence in normalised lines, wrapped anywhere between two words."""
+    known = sorted([*SENTENCES.values(), *FURTHER_SENTENCES.values()], key=len, reverse=True)
+    wrapped = "|".join(words.replace(".", r"\.").replace(" ", "[ \n]") for words in known)
+    return rf"(?m)^(?:{wrapped})$"
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text in order."""
-    known = F.create_map(*[F.lit(x) for name, words in SENTENCES.items() for x in (words, name)])
+    names = {**SENTENCES, **FURTHER_SENTENCES}
+    known = F.create_map(*[F.lit(x) for name, words in names.items() for x in (words, name)])
+    pattern = _lines_pattern()
 
     def of(sentence: Column) -> Column:
         return F.try_element_at(known, normalised(sentence))
 
     def found(sentence: Column) -> Column:
         whole = F.array(of(sentence))
-        lines = F.transform(F.split(sentence, "\n"), of)
-        return F.when(whole[0].isNotNull() | ~sentence.contains("\n"), whole).otherwise(lines)
+        lines = F.array_join(F.transform(F.split(sentence, "\n"), normalised), "\n")
+        runs = F.regexp_extract_all(lines, F.lit(pattern), F.lit(0))
+        wrapped = F.transform(runs, lambda run: F.try_element_at(known, F.translate(run, "\n", " ")))
+        return F.when(whole[0].isNotNull() | ~sentence.contains("\n"), whole).otherwise(wrapped)
 
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), END_OF_SENTENCE, "$1" + CUT)
     return F.array_compact(F.flatten(F.transform(F.split(marked, CUT), found)))
@@ -132,7 +162,7 @@ def sentence_ids(text: Column) -> Column:
 def matched(ids: Column) -> Column:
     """The sequence as text, each rule's match replaced by ``[licence]``."""
     sequence = F.concat_ws("", F.transform(ids, lambda name: F.concat(F.lit("<"), name, F.lit(">"))))
-    for licence, rule in RULES:
+    for licence, rule in WHOLE_RULES + RULES + SINGLE_RULES:
         pattern = "".join(f"<{name}>" for name in rule)
         sequence = F.replace(sequence, F.lit(pattern), F.lit(f"[{licence}]"))
     return sequence

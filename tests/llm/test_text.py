@@ -44,6 +44,55 @@ def test_longer_rules_take_their_sentences_first(spark):
     assert rows[2].n_unmatched == 3  # "and permission …" is no known sentence
 
 
+MIT_FILE = f"""MIT License
+
+Copyright (c) 2024 A. Name
+
+{MIT.replace("conditions: The", "conditions:" + chr(10) * 2 + "The")}
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+GPL_NOTICE = """    <one line>
+    Copyright (C) <year>  <name of author>
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+APACHE_NOTICE = """   Copyright [yyyy] [name of copyright owner]
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+
+
+def test_usual_wrapped_texts(spark):
+    twice = MIT_FILE.replace("MIT License", "The MIT License (MIT)")
+    rows = scanned(spark, MIT_FILE, twice, GPL_NOTICE, APACHE_NOTICE, "MIT License", "The MIT License (MIT)", GPL_NOTICE.replace("version 3", "version 2"), "MIT\n\nLicense\nx")
+    assert [r.licenses for r in rows] == ["MIT", "MIT", "GPL-3.0-or-later", "Apache-2.0", "MIT", "MIT", "GPL-2.0-or-later", ""]
+    assert [r.n_unmatched for r in rows] == [0] * 8
+
+
 def test_licences_on_edge_cases(edge_documents, no_documents):
     assert licenses.scan(edge_documents).count() == edge_documents.count()
     assert licenses.scan(no_documents).count() == 0
