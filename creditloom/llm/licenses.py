@@ -103,7 +103,7 @@ RULES = (
     ("All-rights-reserved", ("reserved",)),
 )
 
-# Fixed values beyond the SQL twin's: usual texts of which none is in the given tables.
+# Fixed values beyond the SQL twin's: usual texts of which sf0.1 holds none.
 FURTHER_SENTENCES = {
     "mit-title-twice": "the mit license mit",
     "gpl-redistribute-or-2": f"{SENTENCES['gpl-redistribute-2']} {SENTENCES['gpl-either-2']}",
