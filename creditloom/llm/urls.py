@@ -12,7 +12,7 @@ verdicts are never mined: that would only restate its host endings and path word
 
 Everything is a DataFrame expression. What reaches the driver is the mined rules. Their number is
 bounded by the support: a combination is kept only if a share ``min_support`` of the labelled
-URLs hold it, so of ``t``-token URLs at most ``C(t, <= MAX_TOKENS) / min_support`` combinations.
+URLs hold it, so of ``t``-token URLs at most ``2 ** t / min_support`` combinations.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.9
-MAX_TOKENS = 3  # tokens of a rule
 DEFAULT = "allow"
 
 _LABEL = "verdict="  # no URL token holds a "="
@@ -117,9 +116,7 @@ def mine(
         numPartitions=int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")),
     ).fit(baskets)
     found = (
-        model.associationRules.where(
-            F.col("consequent")[0].startswith(_LABEL) & (F.size("antecedent") <= MAX_TOKENS)
-        )
+        model.associationRules.where(F.col("consequent")[0].startswith(_LABEL))
         .orderBy(F.size("antecedent"), F.desc("confidence"), F.desc("support"), F.sort_array("antecedent"))
         .collect()
     )

@@ -150,6 +150,13 @@ def test_mined_rules_equal_counting(spark):
     assert rules[places[3]].confidence == 1.0 and places[4] is None
 
 
+def test_rules_may_need_four_tokens(spark):
+    four = set("abcd")
+    rows = [(sorted(four), "block")] * 30 + [(sorted(four - {gone}), "allow") for gone in four] * 15
+    rules = urls.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.05, 0.9)
+    assert [(r.tokens, r.verdict, r.confidence) for r in rules] == [(tuple("abcd"), "block", 1.0)]
+
+
 def test_labels_decide_where_no_list_rule_does(spark):
     pages = spark.createDataFrame([(1, "http://casino.x.io/a"), (2, "http://news.x.io/a")], "page_id long, url string")
     labels = spark.createDataFrame(
