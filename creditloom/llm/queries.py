@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.llm import (
-    bpe, cleaning, extraction, licenses, maxscore, mixing, repair, simhash, toxicity, urls,
+    bpe, cleaning, extraction, licenses, maxscore, mixing, repair, simhash, token_counts, toxicity,
+    urls,
 )
 from creditloom.llm.tables import table
 from creditloom.session import shared_folder
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 1
+TOKEN_LIMIT = 512
 
 
 def op1_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,11 +84,16 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op12_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, TOKEN_LIMIT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_repair_token_files, op2_license_sentences, op3_url_rules, op4_toxicity_chain,
         op5_line_cleaning, op6_maxscore_top_k, op7_prefix_bpe, op8_systematic_mix,
-        op9_text_density, op10_simhash_groups,
+        op9_text_density, op10_simhash_groups, op12_whole_token_counts,
     )
 }
