@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.llm import (
-    bpe, cleaning, extraction, licenses, maxscore, mixing, repair, simhash, token_counts, toxicity,
-    urls,
+    bpe, cleaning, extraction, licenses, maxscore, merkle, mixing, repair, simhash, token_counts,
+    toxicity, urls,
 )
 from creditloom.llm.tables import table
 from creditloom.session import shared_folder
@@ -84,6 +84,11 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether its possibly forged leaf leads to the root."""
+    return merkle.proofs(table(spark, sf_dir, "documents"))
+
+
 def op12_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, TOKEN_LIMIT)
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for query in (
         op1_repair_token_files, op2_license_sentences, op3_url_rules, op4_toxicity_chain,
         op5_line_cleaning, op6_maxscore_top_k, op7_prefix_bpe, op8_systematic_mix,
-        op9_text_density, op10_simhash_groups, op12_whole_token_counts,
+        op9_text_density, op10_simhash_groups, op11_merkle_manifest,
+        op12_whole_token_counts,
     )
 }

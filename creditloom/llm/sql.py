@@ -154,10 +154,71 @@ def _mix() -> str:
         FROM taken t JOIN best b ON t.source IS NOT DISTINCT FROM b.source AND t.shift = b.shift"""
 
 
+# Digests are built level by level with ordinary grouping; proofs and folding walk from each leaf.
+_MERKLE = r"""
+    WITH RECURSIVE field AS (
+        SELECT doc_id, lang, row_number() OVER () AS rid,
+            coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+            || coalesce(octet_length(encode(source)) || ':' || source, '-')
+            || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+            coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS size,
+            coalesce(octet_length(encode(CAST(n_chars + 1 AS VARCHAR))) || ':' || (n_chars + 1), '-') AS size_forged,
+            coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail,
+            list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+                string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))) AS crc
+        FROM documents
+    ), leaf AS (
+        SELECT rid, doc_id, lang, sha256(head || size || tail) AS leaf,
+            CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(head || size_forged || tail) END AS forged FROM field
+    ), placed AS (
+        SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY lang) AS n,
+            row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS idx FROM leaf
+    ), level AS (
+        SELECT 0 AS height, tree, idx, n, leaf AS digest FROM placed
+        UNION ALL
+        SELECT height + 1, tree, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx))
+        FROM level WHERE n > 1 GROUP BY height, tree, idx // 2, n
+    ), subroots AS (SELECT tree, digest AS subroot, count(*) OVER () AS n FROM level WHERE n = 1
+    ), top AS (
+        SELECT 0 AS height, tree AS idx, n, subroot AS digest FROM subroots
+        UNION ALL
+        SELECT height + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx))
+        FROM top WHERE n > 1 GROUP BY height, idx // 2, n
+    ), steps AS (
+        SELECT p.rid, l.height, p.idx >> l.height & 1 AS slot, l.digest AS other
+        FROM placed p JOIN level l ON l.tree = p.tree AND l.idx = xor(p.idx >> l.height, 1) AND l.n > 1
+        UNION ALL
+        SELECT p.rid, 100 + t.height, p.tree >> t.height & 1, t.digest
+        FROM placed p JOIN top t ON t.idx = xor(p.tree >> t.height, 1) AND t.n > 1
+    ), spans AS (
+        SELECT p.rid, h.height FROM placed p JOIN (SELECT DISTINCT tree, height FROM level WHERE n > 1) h USING (tree)
+        UNION ALL
+        SELECT p.rid, 100 + h.height FROM placed p, (SELECT DISTINCT height FROM top WHERE n > 1) h
+    ), numbered AS (
+        SELECT rid, slot, other, row_number() OVER (PARTITION BY rid ORDER BY height) AS step
+        FROM spans LEFT JOIN steps USING (rid, height)
+    ), fold AS (
+        SELECT rid, 0::BIGINT AS step, coalesce(forged, leaf) AS digest FROM placed
+        UNION ALL
+        SELECT rid, fold.step + 1, sha256(CASE WHEN other IS NULL THEN digest
+            WHEN slot = 0 THEN digest || other ELSE other || digest END)
+        FROM fold JOIN numbered USING (rid) WHERE numbered.step = fold.step + 1
+    ), folded AS (SELECT rid, arg_max(digest, step) AS folded_root FROM fold GROUP BY rid
+    ), proof AS (
+        SELECT rid, sha256(coalesce(string_agg(other, '' ORDER BY step), '')) AS proof_sha256
+        FROM placed LEFT JOIN numbered USING (rid) GROUP BY rid
+    )
+    SELECT doc_id, leaf, subroot, top.digest AS root, proof_sha256, folded_root, folded_root = top.digest AS verified
+    FROM placed JOIN subroots USING (tree) JOIN folded USING (rid) JOIN proof USING (rid)
+        JOIN top ON top.n = 1"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op2_license_sentences": _license_sentences(),
         "op5_line_cleaning": _line_cleaning(),
         "op6_maxscore_top_k": _MAXSCORE,
         "op8_systematic_mix": _mix(),
+        "op11_merkle_manifest": _MERKLE,
     }
