@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.llm import (
-    bpe, cleaning, extraction, licenses, maxscore, merkle, mixing, repair, simhash, token_counts,
-    toxicity, urls,
+    bpe, cleaning, extraction, lexical, licenses, maxscore, merkle, mixing, repair, simhash,
+    token_counts, toxicity, urls,
 )
 from creditloom.llm.tables import table
 from creditloom.session import shared_folder
@@ -20,6 +20,7 @@ BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 1
 TOKEN_LIMIT = 512
+RANKS = 20
 
 
 def op1_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,12 +95,18 @@ def op12_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, TOKEN_LIMIT)
 
 
+def op13_shared_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for each benchmark item."""
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return lexical.search(documents, items, "item_id", RANKS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_repair_token_files, op2_license_sentences, op3_url_rules, op4_toxicity_chain,
         op5_line_cleaning, op6_maxscore_top_k, op7_prefix_bpe, op8_systematic_mix,
         op9_text_density, op10_simhash_groups, op11_merkle_manifest,
-        op12_whole_token_counts,
+        op12_whole_token_counts, op13_shared_lexical_search,
     )
 }

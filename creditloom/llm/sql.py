@@ -214,6 +214,35 @@ _MERKLE = r"""
         JOIN top ON top.n = 1"""
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_LEXICAL = f"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS terms FROM documents
+    ), corpus AS (
+        SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS length FROM docs WHERE len(terms) > 0
+    ), posting AS (
+        SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(terms) AS term FROM docs) GROUP BY rid, term
+    ), weight AS (
+        SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+        FROM posting, corpus GROUP BY term
+    ), part AS (
+        SELECT rid, doc_id, term,
+            w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * len(terms) * docs) // length))) AS part
+        FROM posting JOIN weight USING (term) JOIN docs USING (rid), corpus
+    ), item AS (
+        SELECT row_number() OVER () AS iid, item_id, {_TERMS} AS terms FROM benchmark
+    ), scored AS (
+        SELECT iid, item_id, rid, doc_id, CAST(sum(part) AS BIGINT) AS score
+        FROM (SELECT iid, item_id, unnest(terms) AS term FROM item) JOIN part USING (term)
+        GROUP BY iid, item_id, rid, doc_id
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank
+        FROM scored WHERE score > 0
+    )
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op2_license_sentences": _license_sentences(),
@@ -221,4 +250,5 @@ def statements() -> dict[str, str]:
         "op6_maxscore_top_k": _MAXSCORE,
         "op8_systematic_mix": _mix(),
         "op11_merkle_manifest": _MERKLE,
+        "op13_shared_lexical_search": _LEXICAL,
     }
