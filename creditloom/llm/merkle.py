@@ -6,8 +6,8 @@ the groups' roots, in the order of the groups, make a tree of the same kind up t
 
 Every level is a self-join by equality: a node finds its siblings at indexes computed from its own
 (the index with its last bit flipped if the arity is two, slot offsets otherwise), and the node at
-slot zero of each run then emits the parent. What a level's join found is checkpointed, since it is
-read again: on the way down a node's proof is its siblings followed by its parent's proof, handed
+slot zero of each run then emits the parent. What a level's join found is written as a table, since
+it is read again: on the way down a node's proof is its siblings followed by its parent's proof, handed
 to the children by joins on the parent's index. Joins go by tree *and* index, so a group with most
 of the rows spreads like any other, and no proof is gathered from a list of all levels.
 
@@ -29,8 +29,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.llm.tables import written
 from creditloom.operators.ordering import with_row_number
-from creditloom.session import materialize
 
 DIGEST = 32  # bytes
 
@@ -95,7 +95,7 @@ def _climb(leaves: DataFrame, arity: int) -> _Levels:
     levels, nodes = [], leaves
     tops = leaves.where("n = 1").select("tree", F.lit(0).alias("height"), "digest")
     while largest > 1:
-        level = materialize(_with_siblings(nodes.where("n > 1"), arity))
+        level = written(_with_siblings(nodes.where("n > 1"), arity))
         levels.append(level)
         parent = F.floor(F.col("idx") / arity)
         nodes = level.where(F.pmod("idx", F.lit(arity)) == 0).select(
@@ -106,7 +106,7 @@ def _climb(leaves: DataFrame, arity: int) -> _Levels:
         )
         largest = -(-largest // arity)
         tops = tops.union(nodes.where("n = 1").select("tree", F.lit(len(levels)), "digest"))
-    return _Levels(levels, materialize(tops))
+    return _Levels(levels, written(tops.repartition("tree")))  # a row or none in each of many partitions
 
 
 # --- Down: proofs ---------------------------------------------------------------------------
@@ -205,7 +205,7 @@ def manifest(rows: DataFrame, group: str, order: str, digest: str, arity: int =
     )
     placed = _indexed(narrow, ["group"], ["order", "digest", "row"])
     sizes = placed.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    trees = materialize(_indexed(sizes, [], ["group"]).select("group", "n", F.col("idx").alias("tree")))
+    trees = written(_indexed(sizes, [], ["group"]).select("group", "n", F.col("idx").alias("tree")))
     named = trees.withColumnRenamed("group", "of")
     leaves = placed.join(named, F.col("group").eqNullSafe(F.col("of"))).select("tree", "idx", "n", "digest", "key")
     levels = _climb(leaves, arity)
@@ -222,7 +222,7 @@ def manifest(rows: DataFrame, group: str, order: str, digest: str, arity: int =
         F.col("idx").alias("tree"), "height", "trail", F.col("digest").alias("subroot")
     )
     return Manifest(
-        rows=_descend(leaves, levels, materialize(handed), arity),
+        rows=_descend(leaves, levels, written(handed), arity),
         root=bytes(root.digest).hex() if root else None,
         trees=n_trees,
         arity=arity,
