@@ -19,7 +19,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,18 +32,30 @@ COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 BLOCK = 1 << 18  # characters cut into pieces at a time
-MAX_MERGED = 300_000  # merged pieces a worker keeps in mind
+MAX_KEPT = 300_000  # merged pieces, and parts of texts, a worker keeps in mind
 LONGEST_KEPT = 64  # characters of the longest of them
 
-# A space before a visible character always starts a piece.
 _CUT = re.compile(r"(?= \S)")
+_SPACE = re.compile(r" (?=\S)")
+_LOOSE_SPACE = re.compile(r" (?!\S)")
+
+
+# Fixed rule of byte-level vocabularies: bytes that are printable signs of Latin-1 stand for
+# themselves, the others for the characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SIGNS = {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def spelt(piece: str) -> str:
+    """A piece as byte-level vocabularies spell it."""
+    return piece.encode().decode("latin-1").translate(_SIGNS)
 
 
 class ByteLevel:
     """The parts of a byte-level BPE ``.json`` tokenizer that counting needs."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         said = json.loads(self.tokenizer.to_str())
@@ -60,15 +72,12 @@ class ByteLevel:
         if any(token[flag] for token in special for flag in ("single_word", "lstrip", "rstrip")):
             raise ValueError(f"{path}: special tokens take in what is around them")
         longest_first = sorted((token["content"] for token in special), key=len, reverse=True)
+        self._tokenize = self.tokenizer.model.tokenize
         self.special = re.compile("|".join(map(re.escape, longest_first)) or r"(?!)")
-        self._as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def merged(self, piece: str) -> int:
         """How many tokens one piece becomes."""
-        return len(self.tokenizer.model.tokenize(self._spelt(piece)))
-
-    def _spelt(self, piece: str) -> str:
-        return self._as_bytes.pre_tokenize_str(piece)[0][0]
+        return len(self._tokenize(spelt(piece)))
 
     def whole_tokens(self) -> list[str]:
         """The vocabulary strings that are proven to be one token when they are encoded alone."""
@@ -76,27 +85,20 @@ class ByteLevel:
         proven = []
         for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
             text = decode([token])
-            if text and self._spelt(text) == token:  # else it is no whole UTF-8 text
+            if text and spelt(text) == token:  # else it is no whole UTF-8 text
                 found = model.tokenize(token)
                 if len(found) == 1 and found[0].id == number:
                     proven.append(text)
         return proven
 
 
-def newer_characters() -> str:
-    """A character class of what Unicode 3.2 did not assign, where pattern libraries may differ."""
-    known = unicodedata.ucd_3_2_0.category
-    spans: list[list[int]] = []
-    for code in range(128, 0x110000):
-        if known(chr(code)) == "Cn":
-            if spans and spans[-1][1] == code - 1:
-                spans[-1][1] = code
-            else:
-                spans.append([code, code])
-    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + "]"
+def settled_characters() -> frozenset[str]:
+    """Characters beyond ASCII that Unicode 3.2 assigned: pattern libraries of any age class them alike."""
+    kind = unicodedata.ucd_3_2_0.category
+    return frozenset(c for c in map(chr, range(0x80, 0x30000)) if kind(c) not in ("Cn", "Co", "Cs"))
 
 
-class _Known(dict):
+class _Pieces(dict):
     """Tokens of a piece: one for whole tokens, else what merging gives, remembered if short."""
 
     def __init__(self, whole: list[str], library: ByteLevel):
@@ -106,23 +108,44 @@ class _Known(dict):
     def __missing__(self, piece: str) -> int:
         count = self._merged(piece)
         if len(piece) <= LONGEST_KEPT:
-            if len(self) >= len(self._whole) + MAX_MERGED:
+            if len(self) >= len(self._whole) + MAX_KEPT:
                 self.clear()
                 self.update(dict.fromkeys(self._whole, 1))
             self[piece] = count
         return count
 
 
+class _Parts(dict):
+    """Tokens of a part of a text that begins at a space, given without that space."""
+
+    def __init__(self, count: Callable[[str], int]):
+        super().__init__()
+        self._count = count
+
+    def __missing__(self, part: str) -> int:
+        count = self._count(" " + part)
+        if len(part) <= LONGEST_KEPT:
+            if len(self) >= MAX_KEPT:
+                self.clear()
+            self[part] = count
+        return count
+
+
 class TokenCounter:
-    """Counts the tokens of whole texts."""
+    """Counts the tokens of whole texts.
+
+    A space before a visible character always starts a piece, so texts fall into parts there, and
+    a part that comes again is not cut into pieces again.
+    """
 
     def __init__(self, path: str, whole: list[str]):
         import regex
 
         self._library = ByteLevel(path)
-        self._known = _Known(whole, self._library)
-        self._pieces = regex.compile(PIECES).findall
-        self._newer = regex.compile(newer_characters()).search
+        self._pieces = _Pieces(whole, self._library)
+        self._parts = _Parts(self._part)
+        self._cut = regex.compile(PIECES).findall
+        self._settled = settled_characters() | frozenset(map(chr, range(0x80)))
 
     def count(self, text: str) -> int:
         total, start = 0, 0
@@ -132,16 +155,20 @@ class TokenCounter:
         return total + self._plain(text[start:])
 
     def _plain(self, text: str) -> int:
-        total, known = 0, self._known.__getitem__
+        total = 0
         for block in _blocks(text):
-            if not block.isascii() and self._newer(block):
-                cut = self._library.tokenizer.pre_tokenizer.pre_tokenize_str(block)
-                pieces = [block[first:end] for _, (first, end) in cut]
-            else:
-                pieces = self._pieces(block)
-            total += sum(map(known, pieces))
+            first, *others = _SPACE.split(block) if _LOOSE_SPACE.search(block) else block.split(" ")
+            total += self._part(first) + sum(map(self._parts.__getitem__, others))
         return total
 
+    def _part(self, part: str) -> int:
+        if not part.isascii() and not self._settled.issuperset(part):
+            cut = self._library.tokenizer.pre_tokenizer.pre_tokenize_str(part)
+            pieces = [part[first:end] for _, (first, end) in cut]
+        else:
+            pieces = self._cut(part)
+        return sum(map(self._pieces.__getitem__, pieces))
+
 
 def _blocks(text: str) -> Iterator[str]:
     start = 0
