@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,25 +35,48 @@ def land(
     return landed
 
 
-def build_silver(spark: SparkSession, lake: str) -> None:
-    bronze = f"{lake}/bronze"
-    loans = silver.silver_loans(spark.read.parquet(f"{bronze}/{LOANS}"))
-    tables.write_snapshots(loans, f"{lake}/silver/{LOANS}")
-    for name, rule in silver.SILVER_FEATURES.items():
-        cleaned = rule(spark.read.parquet(f"{bronze}/{name}"))
-        tables.write_snapshots(cleaned, f"{lake}/silver/{name}")
+def _replace(df: DataFrame, path: str, months: Sequence[str] | None) -> None:
+    if months is None:
+        tables.write_snapshots(df, path)
+    else:
+        tables.replace_snapshots(df, path, months)
+
+
+def _months_of(table: DataFrame, months: Sequence[str] | None) -> DataFrame:
+    return table if months is None else tables.of_snapshots(table, months)
+
+
+def build_silver(
+    spark: SparkSession, lake: str, months: Mapping[str, Sequence[str]] | None = None
+) -> None:
+    """Build the silver tables, or only the given months of the tables named."""
+    rules = {LOANS: silver.silver_loans, **silver.SILVER_FEATURES}
+    for name in rules if months is None else months:
+        own = None if months is None else months[name]
+        landed = _months_of(spark.read.parquet(f"{lake}/bronze/{name}"), own)
+        _replace(rules[name](landed), f"{lake}/silver/{name}", own)
 
 
 def build_gold(
-    spark: SparkSession, lake: str, dpd: int = K.DEFAULT_DPD, mob: int = K.DEFAULT_MOB
+    spark: SparkSession,
+    lake: str,
+    dpd: int = K.DEFAULT_DPD,
+    mob: int = K.DEFAULT_MOB,
+    months: Mapping[str, Sequence[str]] | None = None,
 ) -> None:
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{lake}/silver/{name}")
+    """Build labels and features, or only what the given months of the silver tables touch."""
+
+    def read(name: str, wanted: Sequence[str] | None) -> DataFrame:
+        return _months_of(spark.read.parquet(f"{lake}/silver/{name}"), wanted)
+
+    def wanted(names: Sequence[str]) -> list[str] | None:
+        return None if months is None else sorted({m for name in names for m in months.get(name, [])})
 
-    labels = gold.gold_labels(read(LOANS), dpd, mob)
-    tables.write_snapshots(labels, f"{lake}/gold/label_store")
-    features = gold.gold_features(read("attributes"), read("financials"), read("clickstream"))
-    tables.write_snapshots(features, f"{lake}/gold/feature_store")
+    if (own := wanted([LOANS])) != []:
+        _replace(gold.gold_labels(read(LOANS, own), dpd, mob), f"{lake}/gold/label_store", own)
+    if (own := wanted(RAW_FEATURES)) != []:
+        joined = (read(name, own) for name in ("attributes", "financials", "clickstream"))
+        _replace(gold.gold_features(*joined), f"{lake}/gold/feature_store", own)
 
 
 def backfill(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -90,6 +91,22 @@ def read_months(spark: SparkSession, path: str, first: str, last: str) -> DataFr
     return table.where(F.col(K.SNAPSHOT).between(start, end))
 
 
+def of_snapshots(table: DataFrame, snapshots: Iterable[str | date]) -> DataFrame:
+    """The rows of the snapshots; other partitions are not read."""
+    return table.where(F.col(K.SNAPSHOT).isin([F.lit(str(day)).cast("date") for day in snapshots]))
+
+
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """``snapshot_date, path, size, modified`` of a snapshot table's files, without reading them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.select(
+        F.col(K.SNAPSHOT).cast("date").alias(K.SNAPSHOT),
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+    )
+
+
 def read_with_file_name(spark: SparkSession, path: str) -> DataFrame:
     """A table with the file each row came from."""
     return spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("source_file"))
@@ -128,6 +145,32 @@ def write_snapshots(
         balanced.unpersist()
 
 
+def drop_partitions(
+    spark: SparkSession, path: str, partitions: Sequence[Mapping[str, str]]
+) -> None:
+    """Remove whole partitions, each given by its columns in the order of the folders."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for partition in partitions:
+        folder = "/".join([path, *[f"{name}={value}" for name, value in partition.items()]])
+        target = jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(conf).delete(target, True)
+
+
+def replace_snapshots(df: DataFrame, path: str, snapshots: Sequence[str]) -> None:
+    """Make the table's given snapshots those of ``df``; one without rows there goes."""
+    spark = df.sparkSession
+
+    def files() -> DataFrame:
+        return of_snapshots(listed_files(spark, path), snapshots)
+
+    before = materialize(files()) if exists(spark, path) else None
+    write_snapshots(of_snapshots(df, snapshots), path)
+    if before is not None:
+        # Written snapshots have new files, so an old one is left where no row came.
+        left = before.join(files(), "path", "left_semi").select(K.SNAPSHOT).distinct().collect()
+        drop_partitions(spark, path, [{K.SNAPSHOT: str(row[0])} for row in left])
+
+
 def write_missing_snapshots(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Write only snapshots the table does not have yet, or all with ``overwrite``."""
     spark = df.sparkSession

@@ -18,6 +18,7 @@ from creditloom.operators import (
     evaluation,
     gold,
     history,
+    incremental,
     modeling,
     profiling,
     quality,
@@ -123,6 +124,18 @@ def silver_dedupe(spark, sf):
     )
 
 
+@query
+def changed_months(spark, sf):
+    """Months to build again where loans of each March changed, Julys are gone and Novembers came."""
+    raw = V.loan_raw(spark, sf)
+    month = F.month(F.col(K.SNAPSHOT).cast("date"))
+    paid = F.when(month == 3, F.lit("0")).otherwise(F.col("paid_amt").cast("string"))
+    before = raw.withColumn("paid_amt", F.col("paid_amt").cast("string")).where(month != 11)
+    after = raw.withColumn("paid_amt", paid).where(month != 7)
+    states = [incremental.content_state(rows, [K.SNAPSHOT]) for rows in (before, after)]
+    return incremental.changed_groups(*states, [K.SNAPSHOT])
+
+
 @query
 def gold_label(spark, sf):
     return labels(spark, sf)

@@ -475,6 +475,20 @@ def statements() -> dict[str, str]:
     sql["silver_dedupe"] = _shaped(
         "SELECT DISTINCT loan_id, installment_num, loan_start_date FROM loan_raw"
     )
+    sql["changed_months"] = _shaped(
+        """WITH landed AS (
+          SELECT * REPLACE (paid_amt::VARCHAR AS paid_amt), month(snapshot_date::DATE) AS m FROM loan_raw
+        ), old AS (SELECT * FROM landed WHERE m <> 11
+        ), new AS (
+          SELECT * REPLACE (CASE WHEN m = 3 THEN '0' ELSE paid_amt END AS paid_amt) FROM landed WHERE m <> 7
+        ), differing AS (
+          SELECT snapshot_date FROM (SELECT * FROM old EXCEPT ALL SELECT * FROM new)
+          UNION SELECT snapshot_date FROM (SELECT * FROM new EXCEPT ALL SELECT * FROM old)
+        )
+        SELECT snapshot_date, CASE WHEN snapshot_date NOT IN (SELECT snapshot_date FROM old) THEN 'new'
+          WHEN snapshot_date NOT IN (SELECT snapshot_date FROM new) THEN 'gone' ELSE 'changed' END AS reason
+        FROM differing"""
+    )
     sql["gold_label"] = _shaped("SELECT * FROM gold_label", "snapshot_date")
     sql["gold_label_default_rate"] = _shaped(
         """SELECT snapshot_date, label_def, count(*) AS row_count, sum(label)::BIGINT AS defaults,
