@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from creditloom.operators import registry
 from creditloom.plans.training import REGISTRY_SCHEMA
-from creditloom.sources import tables
+from creditloom.sources import revisions
 
 
 def training_due(spark: SparkSession, model_root: str, run_date: str) -> DataFrame:
     """Three months after the latest training, or with none yet, training is due."""
-    log = tables.read_revision(spark, f"{model_root}/registry", REGISTRY_SCHEMA)
+    log = revisions.read_revision(spark, f"{model_root}/registry", REGISTRY_SCHEMA)
     return registry.training_cadence(log, F.lit(run_date).cast("date"))
 
 
@@ -21,6 +21,6 @@ def retrain_requests(
 ) -> DataFrame:
     """Per model type, whether drift at this snapshot asks for retraining."""
     history = spark.read.parquet(f"{lake}/gold/model_monitoring/history")
-    log = tables.read_revision(spark, f"{model_root}/registry", REGISTRY_SCHEMA)
+    log = revisions.read_revision(spark, f"{model_root}/registry", REGISTRY_SCHEMA)
     typed = history.join(log.select("model_version", "model_type"), "model_version")
     return registry.retrain_decisions(typed, F.lit(snapshot).cast("date"))

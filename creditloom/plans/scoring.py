@@ -16,7 +16,7 @@ from creditloom.plans.training import (
     reconcile_registry,
     train_model,
 )
-from creditloom.sources import tables
+from creditloom.sources import revisions, tables
 
 PREDICTION_COLUMNS = [
     K.CUSTOMER,
@@ -50,7 +50,7 @@ def choose_model(
     With ``lake`` given and nothing usable registered, one model is trained first.
     """
     reconcile_registry(spark, model_root)
-    log = tables.read_revision(spark, f"{model_root}/registry", REGISTRY_SCHEMA)
+    log = revisions.read_revision(spark, f"{model_root}/registry", REGISTRY_SCHEMA)
     try:
         return registry.selected_model(log, model_version, model_type)
     except LookupError:
@@ -64,7 +64,7 @@ def choose_model(
         model_type or K.BOOSTED_TREES,
         model_root,
     )
-    log = tables.read_revision(spark, f"{model_root}/registry", REGISTRY_SCHEMA)
+    log = revisions.read_revision(spark, f"{model_root}/registry", REGISTRY_SCHEMA)
     return registry.selected_model(log, model_version, model_type)
 
 

@@ -15,7 +15,9 @@ from creditloom.functions.months import training_windows
 from creditloom.operators import classification, modeling, quality, registry, sampling, selection
 from creditloom.operators.temporal import label_feature_join
 from creditloom.session import materialize
-from creditloom.sources.tables import read_revision, read_table, save_revision
+from creditloom.sources import files
+from creditloom.sources.revisions import commit, read_revision
+from creditloom.sources.tables import read_table
 
 SPLITS = ("train", "test", "oot")
 REGISTRY_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in K.REGISTRY_COLUMNS.items())
@@ -211,10 +213,8 @@ def train_model(
 ) -> str:
     """Fit a model, save its pipeline and facts under ``model_root`` and register it."""
     fit = fit_model(labels, features, train_date, model_type, candidates)
-    log = read_revision(spark, f"{model_root}/registry", REGISTRY_SCHEMA)
     base = f"credit_model_{model_type}_{train_date.replace('-', '_')}"
-    names = spark.createDataFrame([(base,)], "base_name string")
-    version = registry.next_version_numbers(log, names).first()["model_version"]
+    version = claim_version(spark, model_root, base)
     fit.model.write().save(f"{model_root}/artifacts/{version}")
 
     row = registry_row(fit, version)
@@ -227,16 +227,36 @@ def train_model(
     spark.createDataFrame([facts], FACTS_SCHEMA).write.mode("append").partitionBy(
         "file_stem"
     ).parquet(f"{model_root}/facts")
-    save_revision(registry.registered(log, new), f"{model_root}/registry")
+    commit(spark, f"{model_root}/registry", REGISTRY_SCHEMA, lambda log: registry.registered(log, new))
     return version
 
 
+def claim_version(spark: SparkSession, model_root: str, base: str) -> str:
+    """A version name that no other training has or gets: the next number no one holds.
+
+    Counting starts after the registered versions of ``base``. Names of saved models and of
+    trainings under way are held too, also where the registry has lost one of them.
+    """
+    log = read_revision(spark, f"{model_root}/registry", REGISTRY_SCHEMA)
+    names = spark.createDataFrame([(base,)], "base_name string")
+    number = registry.next_version_numbers(log, names).first()["next_number"]
+    held = set(files.names_in(spark, f"{model_root}/artifacts"))
+    held |= {row[0] for row in log.where(F.col("model_version").startswith(base)).select("model_version").collect()}
+    while True:
+        version = f"{base}_v{number}"
+        if version not in held and files.put_if_absent(spark, f"{model_root}/claims/{version}", ""):
+            return version
+        number += 1
+
+
 def reconcile_registry(spark: SparkSession, model_root: str) -> DataFrame:
     """Bring the registry in line with the saved models; returns the versions that came or went."""
-    log = read_revision(spark, f"{model_root}/registry", REGISTRY_SCHEMA)
     facts = read_table(spark, f"{model_root}/facts", FACTS_SCHEMA)
-    # The log is small; fixing it allows a new revision to be written to where it was read from.
-    now = materialize(registry.reconciled(facts, log).select(*K.REGISTRY_COLUMNS))
-    changes = materialize(registry.version_changes(now, log))
-    save_revision(now, f"{model_root}/registry")
-    return changes
+    path = f"{model_root}/registry"
+
+    def reconciled(log: DataFrame) -> DataFrame:
+        return registry.reconciled(facts, log).select(*K.REGISTRY_COLUMNS)
+
+    number = commit(spark, path, REGISTRY_SCHEMA, reconciled)
+    before, now = (read_revision(spark, path, REGISTRY_SCHEMA, n) for n in (number - 1, number))
+    return materialize(registry.version_changes(now, before))

@@ -14,8 +14,7 @@ from creditloom import constants as K
 from creditloom.operators.history import upserted
 from creditloom.operators.quality import missing_months
 from creditloom.session import materialize
-
-REVISION = "revision"
+from creditloom.sources import files
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -98,8 +97,8 @@ def of_snapshots(table: DataFrame, snapshots: Iterable[str | date]) -> DataFrame
 
 def listed_files(spark: SparkSession, path: str) -> DataFrame:
     """``snapshot_date, path, size, modified`` of a snapshot table's files, without reading them."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select(
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return listing.select(
         F.col(K.SNAPSHOT).cast("date").alias(K.SNAPSHOT),
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_size").alias("size"),
@@ -149,25 +148,23 @@ def drop_partitions(
     spark: SparkSession, path: str, partitions: Sequence[Mapping[str, str]]
 ) -> None:
     """Remove whole partitions, each given by its columns in the order of the folders."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for partition in partitions:
-        folder = "/".join([path, *[f"{name}={value}" for name, value in partition.items()]])
-        target = jvm.org.apache.hadoop.fs.Path(folder)
-        target.getFileSystem(conf).delete(target, True)
+        folders = [f"{name}={value}" for name, value in partition.items()]
+        files.delete(spark, "/".join([path, *folders]))
 
 
 def replace_snapshots(df: DataFrame, path: str, snapshots: Sequence[str]) -> None:
     """Make the table's given snapshots those of ``df``; one without rows there goes."""
     spark = df.sparkSession
 
-    def files() -> DataFrame:
+    def listed() -> DataFrame:
         return of_snapshots(listed_files(spark, path), snapshots)
 
-    before = materialize(files()) if exists(spark, path) else None
+    before = materialize(listed()) if exists(spark, path) else None
     write_snapshots(of_snapshots(df, snapshots), path)
     if before is not None:
         # Written snapshots have new files, so an old one is left where no row came.
-        left = before.join(files(), "path", "left_semi").select(K.SNAPSHOT).distinct().collect()
+        left = before.join(listed(), "path", "left_semi").select(K.SNAPSHOT).distinct().collect()
         drop_partitions(spark, path, [{K.SNAPSHOT: str(row[0])} for row in left])
 
 
@@ -203,21 +200,3 @@ def upsert(
     # The result is fixed before the partitions it was read from are replaced.
     merged = materialize(upserted(old, new, keys, order))
     write_snapshots(merged.select(*new.columns), path, partition_by, csv_path)
-
-
-def save_revision(df: DataFrame, path: str) -> None:
-    """Append a small table as a new revision; earlier ones stay as they are."""
-    spark = df.sparkSession
-    last = 0
-    if exists(spark, path):
-        last = spark.read.parquet(path).agg(F.max(REVISION)).first()[0] or 0
-    df.withColumn(REVISION, F.lit(last + 1)).write.mode("append").partitionBy(REVISION).parquet(path)
-
-
-def read_revision(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """The latest revision, or an empty table."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    table = spark.read.parquet(path)
-    last = table.agg(F.max(REVISION)).first()[0]
-    return table.where(F.col(REVISION) == last).drop(REVISION)

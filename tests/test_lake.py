@@ -9,7 +9,7 @@ from creditloom import constants as K
 from creditloom.functions.months import month_sequence
 from creditloom.operators import registry
 from creditloom.plans import backfill, evaluation, monitoring, retraining, scoring, training
-from creditloom.sources import tables
+from creditloom.sources import revisions, tables
 
 ONE_POINT = [{"C": 1.0, "class_weight": None, "max_iter": 500}]
 TRAIN_DATE = "2024-09-01"
@@ -125,7 +125,7 @@ def test_missing_month_is_named(spark, lake):
 def test_training_registers_a_champion(spark, models):
     root, version = models
     assert version == "credit_model_log_reg_2024_09_01_v1"
-    log = tables.read_revision(spark, f"{root}/registry", training.REGISTRY_SCHEMA)
+    log = revisions.read_revision(spark, f"{root}/registry", training.REGISTRY_SCHEMA)
     row = log.first()
     assert (row["champion"], row["challenger"]) == (1, 0)
     assert row["auc_test"] > 0.55
@@ -177,14 +177,14 @@ def test_second_model_is_versioned_and_compared(spark, lake, models):
         spark, labels, features, TRAIN_DATE, K.LOG_REG, root, ONE_POINT
     )
     assert second.endswith("_v2")
-    log = tables.read_revision(spark, f"{root}/registry", training.REGISTRY_SCHEMA)
+    log = revisions.read_revision(spark, f"{root}/registry", training.REGISTRY_SCHEMA)
     flags = {row["model_version"]: (row["champion"], row["challenger"]) for row in log.collect()}
     assert flags[second] == (0, 0)  # the same model is not better than the champion
     assert registry.selected_model(log, model_type=K.LOG_REG).endswith("_v1")
     with pytest.raises(LookupError):
         registry.selected_model(log, model_type=K.BOOSTED_TREES)
     assert training.reconcile_registry(spark, root).isEmpty()
-    log = tables.read_revision(spark, f"{root}/registry", training.REGISTRY_SCHEMA)
+    log = revisions.read_revision(spark, f"{root}/registry", training.REGISTRY_SCHEMA)
     flags = {row["model_version"]: (row["champion"], row["challenger"]) for row in log.collect()}
     assert flags[second] == (0, 1)  # reconciling makes the best other model challenger
     due = retraining.training_due(spark, root, "2024-11-01").first()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from creditloom import constants as K
 from creditloom.operators import registry as R
 from creditloom.plans.training import REGISTRY_SCHEMA
-from creditloom.sources import tables
+from creditloom.sources import revisions
 
 ARTIFACT = "model_version string, model_type string, file_stem string, auc_oot double, auc_test double, auc_train double"
 
@@ -80,7 +80,7 @@ def test_selection(spark):
 
 
 def test_cadence_with_empty_registry(spark):
-    empty = tables.read_revision(spark, "/tmp/creditloom-no-such-table", REGISTRY_SCHEMA)
+    empty = revisions.read_revision(spark, "/tmp/creditloom-no-such-table", REGISTRY_SCHEMA)
     row = R.training_cadence(empty, F.lit("2024-09-01").cast("date")).first()
     assert row["training_due"] and row["last_train_date"] is None
 
@@ -88,8 +88,8 @@ def test_cadence_with_empty_registry(spark):
 def test_revisions(spark, tmp_path):
     path = str(tmp_path / "registry")
     one = registry_of(spark, [("a", "t", 0.7, 0.7, 1, 0)])
-    tables.save_revision(one, path)
-    tables.save_revision(one.withColumn("model_version", F.lit("b")), path)
-    got = tables.read_revision(spark, path, REGISTRY_SCHEMA)
+    revisions.save_revision(one, path)
+    revisions.save_revision(one.withColumn("model_version", F.lit("b")), path)
+    got = revisions.read_revision(spark, path, REGISTRY_SCHEMA)
     assert [r["model_version"] for r in got.collect()] == ["b"]
     assert got.columns == list(K.REGISTRY_COLUMNS)

@@ -476,7 +476,7 @@ def statements() -> dict[str, str]:
         "SELECT DISTINCT loan_id, installment_num, loan_start_date FROM loan_raw"
     )
     sql["changed_months"] = _shaped(
-        """WITH landed AS (
+        """SELECT * FROM (WITH landed AS (
           SELECT * REPLACE (paid_amt::VARCHAR AS paid_amt), month(snapshot_date::DATE) AS m FROM loan_raw
         ), old AS (SELECT * FROM landed WHERE m <> 11
         ), new AS (
@@ -487,7 +487,7 @@ def statements() -> dict[str, str]:
         )
         SELECT snapshot_date, CASE WHEN snapshot_date NOT IN (SELECT snapshot_date FROM old) THEN 'new'
           WHEN snapshot_date NOT IN (SELECT snapshot_date FROM new) THEN 'gone' ELSE 'changed' END AS reason
-        FROM differing"""
+        FROM differing)"""
     )
     sql["gold_label"] = _shaped("SELECT * FROM gold_label", "snapshot_date")
     sql["gold_label_default_rate"] = _shaped(
