@@ -176,6 +176,12 @@ def stability_index(
     )
 
 
+PROFILE = (
+    "feature_name string, feature_type string, edges array<double>, levels array<string>,"
+    " counts map<string,bigint>, top_n int"
+)
+
+
 def drift_table(
     reference: DataFrame,
     current: DataFrame,
@@ -184,11 +190,19 @@ def drift_table(
     groups: Sequence[str] = (),
 ) -> DataFrame:
     """Stability index of every column, and group of the current rows, with its feature type."""
-    index = stability_index(
-        bucket_counts(reference, buckets, columns),
-        bucket_counts(current, buckets, columns, groups),
-        groups,
-    )
+    counts = bucket_counts(reference, buckets, columns)
+    return drift_from_counts(counts, current, buckets, columns, groups)
+
+
+def drift_from_counts(
+    expected: DataFrame,
+    current: DataFrame,
+    buckets: DriftBuckets,
+    columns: Sequence[str],
+    groups: Sequence[str] = (),
+) -> DataFrame:
+    """``drift_table`` where the reference's bucket counts are known."""
+    index = stability_index(expected, bucket_counts(current, buckets, columns, groups), groups)
     kind = buckets.kind()
     return index.withColumn("feature_type", kind).withColumn(
         "categorical_top_n", F.when(kind == "categorical", F.lit(float(buckets.top_n)))
@@ -204,6 +218,63 @@ def drift_table(
     )
 
 
+def drift_profile(
+    reference: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str] = (),
+    bins: int = K.DEFAULT_BINS,
+    top_n: int = K.CATEGORICAL_TOP_N,
+) -> DataFrame:
+    """All that drift measures need of a reference: one row per column, with buckets and counts.
+
+    The table has as many rows as there are columns, whatever the reference's size, and can be
+    stored and read again in its place. The reference is read several times: persist it.
+    """
+    spark = reference.sparkSession
+    buckets = fit_buckets(reference, numeric, categorical, bins, top_n)
+    fitted = spark.createDataFrame(
+        [
+            (name, kind, buckets.edges.get(name), buckets.levels.get(name))
+            for names, kind in ((numeric, "numeric"), (categorical, "categorical"))
+            for name in names
+        ],
+        "feature_name string, feature_type string, edges array<double>, levels array<string>",
+    )
+    pairs = F.collect_list(F.struct("bucket", "row_count"))
+    counts = bucket_counts(reference, buckets, [*numeric, *categorical])
+    maps = counts.groupBy("feature_name").agg(F.map_from_entries(pairs).alias("counts"))
+    none = F.create_map().cast("map<string,bigint>")
+    return fitted.join(F.broadcast(maps), "feature_name", "left").withColumns(
+        {"counts": F.coalesce("counts", none), "top_n": F.lit(top_n)}
+    )
+
+
+def profile_buckets(profile: DataFrame) -> DriftBuckets:
+    """The buckets of a profile; a row per column is read."""
+    edges, levels, top_n = {}, {}, K.CATEGORICAL_TOP_N
+    for row in profile.select("feature_name", "feature_type", "edges", "levels", "top_n").collect():
+        if row["feature_type"] == "categorical":
+            levels[row["feature_name"]] = row["levels"]
+        else:
+            edges[row["feature_name"]] = row["edges"]
+        top_n = row["top_n"]
+    return DriftBuckets(edges, levels, top_n)
+
+
+def profile_counts(profile: DataFrame) -> DataFrame:
+    """The reference's rows per feature and bucket."""
+    return profile.select("feature_name", F.explode("counts").alias("bucket", "row_count"))
+
+
+def drift_from_profile(
+    profile: DataFrame, current: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()
+) -> DataFrame:
+    """``drift_table`` from a profile in place of the reference."""
+    return drift_from_counts(
+        profile_counts(profile), current, profile_buckets(profile), columns, groups
+    )
+
+
 def worst_feature(csi: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Largest CSI and its feature; ties go to the smaller name, no features give 0 and ''."""
     peak = csi.groupBy(*groups, "csi").agg(F.min("feature_name").alias("feature_name"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom import constants as K
 from creditloom.operators import drift, modeling, selection
+from creditloom.operators.incremental import content_state
+from creditloom.operators.quality import missing_months
 from creditloom.plans.scoring import load_model
-from creditloom.sources import tables
+from creditloom.sources import revisions, tables
+
+STORED_PROFILE = f"{drift.PROFILE}, reference_state string"
 
 SUMMARY_COLUMNS = [
     "model_version",
@@ -59,12 +63,23 @@ def drift_report(
     Both tables hold ``model_score`` and the features. The reference is read for the buckets
     and for its counts: persist it when scoring it is expensive.
     """
+    return report_from_profile(fitted_profile(reference, features, bins, top_n), current, features)
+
+
+def fitted_profile(
+    reference: DataFrame, features: Sequence[str], bins: int, top_n: int
+) -> DataFrame:
+    """The profile of the score and the features in the reference."""
     numeric, categorical = selection.split_by_type(reference, features)
-    buckets = drift.fit_buckets(
-        reference, [K.SCORE_FEATURE, *numeric], categorical, bins, top_n
-    )
-    table = drift.drift_table(
-        reference, current, buckets, [K.SCORE_FEATURE, *features], [K.SNAPSHOT]
+    return drift.drift_profile(reference, [K.SCORE_FEATURE, *numeric], categorical, bins, top_n)
+
+
+def report_from_profile(
+    profile: DataFrame, current: DataFrame, features: Sequence[str]
+) -> DataFrame:
+    """``drift_report`` from the reference's profile."""
+    table = drift.drift_from_profile(
+        profile, current, [K.SCORE_FEATURE, *features], [K.SNAPSHOT]
     )
     is_score = F.col("feature_name") == K.SCORE_FEATURE
     return table.withColumn(
@@ -72,6 +87,56 @@ def drift_report(
     )
 
 
+def reference_state(spark: SparkSession, store: str, windows: Mapping[str, str]) -> str:
+    """What the reference months consist of now, from the list of their files alone.
+
+    Raises if a month of the window has no files.
+    """
+    first, last = windows["feature_start_date"], windows["feature_end_date"]
+    files = tables.listed_files(spark, store).where(
+        F.col(K.SNAPSHOT).between(F.trunc(F.lit(first).cast("date"), "month"), F.last_day(F.lit(last).cast("date")))
+    )
+    absent = [str(row[0]) for row in missing_months(files, first, last).collect()]
+    if absent:
+        raise FileNotFoundError(f"months missing in {store}: {', '.join(absent)}")
+    state = content_state(files, []).first()
+    return f"{state['n_rows']}:{state['checksum']}"
+
+
+def model_profile(
+    spark: SparkSession,
+    lake: str,
+    model_version: str,
+    features: Sequence[str],
+    windows: Mapping[str, str],
+    score: Callable[[DataFrame], DataFrame],
+    bins: int = K.DEFAULT_BINS,
+    top_n: int = K.CATEGORICAL_TOP_N,
+) -> DataFrame:
+    """The stored profile of a model's reference months; fitted if there is none of these months.
+
+    Profiles are kept per model, bins and top levels. Where the months' files are others than
+    those a profile was fitted on, a new revision is fitted; earlier ones stay.
+    """
+    store = f"{lake}/gold/feature_store"
+    path = f"{lake}/gold/drift_profiles/{model_version}/bins-{bins}-top-{top_n}"
+    state = reference_state(spark, store, windows)
+    stored = revisions.read_revision(spark, path, STORED_PROFILE)
+    if stored.where(F.col("reference_state") == state).isEmpty():
+        reference = tables.read_months(
+            spark, store, windows["feature_start_date"], windows["feature_end_date"]
+        )
+        population = score(reference).persist()
+        try:
+            fitted = fitted_profile(population, features, bins, top_n)
+            rows = fitted.withColumn("reference_state", F.lit(state))
+            number = revisions.commit(spark, path, STORED_PROFILE, lambda _: rows)
+        finally:
+            population.unpersist()
+        stored = revisions.read_revision(spark, path, STORED_PROFILE, number)
+    return stored.drop("reference_state")
+
+
 def monitoring_summary(
     detail: DataFrame,
     model_version: str,
@@ -126,14 +191,11 @@ def monitor(
     """Measure drift of the snapshots, put the rows into the histories and return the summary.
 
     The reference is the feature window the model was trained on; every month of it must be
-    there.
+    there. Its rows are read and scored once per model: what later runs need of it is stored.
     """
     model, facts = load_model(spark, model_root, model_version)
     features, windows = facts["features"], facts["windows"]
     store = f"{lake}/gold/feature_store"
-    reference = tables.read_months(
-        spark, store, windows["feature_start_date"], windows["feature_end_date"]
-    )
     current = tables.require_snapshots(spark.read.parquet(store), snapshots, store)
     selection.require_columns(current, features, "feature store")
 
@@ -141,8 +203,10 @@ def monitor(
         kept = df.select(K.SNAPSHOT, *features)
         return modeling.with_score(kept, model, K.SCORE_FEATURE)
 
-    population = scored(reference).persist()
-    detail = drift_report(population, scored(current), features, bins, top_n).persist()
+    profile = model_profile(
+        spark, lake, model_version, features, windows, scored, bins, top_n
+    )
+    detail = report_from_profile(profile, scored(current), features).persist()
     try:
         summary = monitoring_summary(detail, model_version, windows, top_n=top_n, **limits)
         shown = detail.withColumns(
@@ -160,7 +224,6 @@ def monitor(
             tables.upsert(rows, f"{root}/{name}", keys, K.MONITORING_KEY, csv_path=csv_path)
     finally:
         detail.unpersist()
-        population.unpersist()
     texts = [F.lit(s) for s in snapshots]
     return (
         spark.read.schema(summary.schema)

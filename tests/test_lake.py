@@ -169,6 +169,40 @@ def test_score_monitor_evaluate(spark, lake, models):
         evaluation.evaluate(spark, lake, version, "2024-08-31")
 
 
+def test_a_stored_profile_stands_in_for_the_reference(spark, lake, models, monkeypatch):
+    root, version = models
+    first = monitoring.monitor(spark, lake, root, version, ["2024-11-01"]).drop("created_at").collect()
+    detail = spark.read.parquet(f"{lake}/gold/model_monitoring/csi_detail").where("snapshot_date = '2024-11-01'")
+    rows = sorted(detail.collect())
+
+    def refuses(*_):
+        raise AssertionError("read the reference again")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "read_months", refuses)
+        again = monitoring.monitor(spark, lake, root, version, ["2024-11-01"]).drop("created_at").collect()
+        assert again == first
+        detail = spark.read.parquet(f"{lake}/gold/model_monitoring/csi_detail").where("snapshot_date = '2024-11-01'")
+        assert sorted(detail.collect()) == rows
+        # Other buckets are another profile, and so are changed reference months.
+        with pytest.raises(AssertionError, match="again"):
+            monitoring.monitor(spark, lake, root, version, ["2024-11-01"], bins=5)
+    model, facts = scoring.load_model(spark, root, version)
+    month = facts["windows"]["feature_start_date"]
+    path = f"{lake}/gold/drift_profiles/{version}/bins-{K.DEFAULT_BINS}-top-{K.CATEGORICAL_TOP_N}"
+    assert revisions.revisions(spark, path) == [1]
+    rows = tables.of_snapshots(spark.read.parquet(f"{lake}/gold/feature_store"), [month]).checkpoint()
+    tables.write_snapshots(rows, f"{lake}/gold/feature_store")
+    assert monitoring.monitor(spark, lake, root, version, ["2024-11-01"]).drop("created_at").collect() == first
+    assert revisions.revisions(spark, path) == [1, 2]
+
+
+def test_a_missing_reference_month_is_named(spark, lake):
+    windows = {"feature_start_date": "2022-11-01", "feature_end_date": "2023-02-01"}
+    with pytest.raises(FileNotFoundError, match="2022-11-01, 2022-12-01"):
+        monitoring.reference_state(spark, f"{lake}/gold/feature_store", windows)
+
+
 def test_second_model_is_versioned_and_compared(spark, lake, models):
     root, _ = models
     labels = spark.read.parquet(f"{lake}/gold/label_store")

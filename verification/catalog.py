@@ -29,7 +29,8 @@ from creditloom.operators import (
     temporal,
 )
 from creditloom.plans import monitoring, training
-from creditloom.sources import tables
+from creditloom.session import shared_folder
+from creditloom.sources import revisions, tables
 from verification import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -404,6 +405,18 @@ def csi_all_features(spark, sf):
     return drift_query(spark, sf, ["model_score", *V.NUMERIC_DRIFT], V.TEXT_DRIFT, ["snapshot_date"])
 
 
+@query
+def csi_from_stored_profile(spark, sf):
+    """Drift of every current snapshot from the reference's profile, stored and read again."""
+    numeric = ["model_score", *V.NUMERIC_DRIFT]
+    path = f"{shared_folder(spark)}/profile"
+    fitted_rows = drift.drift_profile(V.drift_reference(spark, sf), numeric, V.TEXT_DRIFT)
+    revisions.commit(spark, path, drift.PROFILE, lambda _: fitted_rows)
+    profile = revisions.read_revision(spark, path, drift.PROFILE)
+    columns = [*numeric, *V.TEXT_DRIFT]
+    return drift.drift_from_profile(profile, V.drift_current(spark, sf), columns, ["snapshot_date"])
+
+
 @query
 def drift_buckets(spark, sf):
     """Rows per bucket of reference and current, right-closed edges, missing and other apart."""

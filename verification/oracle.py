@@ -677,6 +677,7 @@ def statements() -> dict[str, str]:
     sql["csi_all_features"] = _shaped(
         "SELECT * FROM month_csi", "snapshot_date", "csi categorical_top_n"
     )
+    sql["csi_from_stored_profile"] = sql["csi_all_features"]
     sql["drift_buckets"] = _shaped(
         """SELECT is_current, feature_name, bucket, row_count FROM drift_counts
         WHERE feature_name <> 'model_score'"""
