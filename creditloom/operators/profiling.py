@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from creditloom import constants as K
 from creditloom.functions.scores import number_or_null
 from creditloom.operators.quantiles import column_quantiles, group_quantiles
+from creditloom.session import materialize
 
 
 def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -71,8 +72,9 @@ def numeric_summary(
     df: DataFrame, columns: Sequence[str]
 ) -> DataFrame:
     """count, mean, std, min, quartiles and max of numeric columns, rounded to 4 digits."""
+    numbers = df.select(*columns).persist()
     quartiles = column_quantiles(
-        df, {c: F.col(c) for c in columns}, [Fraction(i, 4) for i in (1, 2, 3)]
+        numbers, {c: F.col(c) for c in columns}, [Fraction(i, 4) for i in (1, 2, 3)]
     )
     rows = []
     for name in columns:
@@ -91,7 +93,9 @@ def numeric_summary(
                 F.round(F.max(value), 4).alias("max"),
             )
         )
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    summary = materialize(numbers.agg(F.array(*rows).alias("rows")).select(F.inline("rows")))
+    numbers.unpersist()
+    return summary
 
 
 def histograms(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:

@@ -7,6 +7,7 @@ find the same numbers from counts.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from creditloom.functions.scores import number_or_null, right_closed_index
 from creditloom.operators.ordering import with_running_totals
+from creditloom.session import materialize
 
 SKETCH_ACCURACY = 10_000
 
@@ -29,56 +31,87 @@ def _place(fraction: Fraction, rows: int) -> tuple[int, int, float]:
     return low, low + (rest > 0), rest / fraction.denominator
 
 
-def _ranked(
-    values: DataFrame, ranks: Mapping[str, Sequence[int]], fractions: Sequence[Fraction]
-) -> dict:
-    """Values at the given ranks of each column.
+@dataclass
+class _Column:
+    """What the first reading of a column tells: its rows and cut points around each quantile."""
 
-    The columns are sketched, and rows are counted between cut points taken from the sketch,
-    close on both sides of every quantile. Then only the values in the intervals the ranks fall
-    into are ordered. The sketch decides how narrow those are, never the result.
-    """
+    rows: int
+    cuts: list[float]
+    near: set[int]  # the open intervals between the cut points of one quantile
+
+    def part(self, value: Column) -> Column:
+        """Odd numbers are the cut points themselves, even ones the open intervals below them."""
+        at_cut = F.when(value.isin(self.cuts), 1).otherwise(0)
+        return 2 * right_closed_index(value, self.cuts) + at_cut
+
+
+def _sketched(values: DataFrame, fractions: Sequence[Fraction]) -> dict[str, _Column]:
+    """First reading: counts, and a sketch that gives cut points on both sides of every quantile."""
     margin = 2 / SKETCH_ACCURACY
-    around = sorted({min(max(float(f) + d, 0.0), 1.0) for f in fractions for d in (-margin, margin)})
-    sketches = values.agg(
-        *[F.percentile_approx(name, around, SKETCH_ACCURACY).alias(name) for name in ranks]
-    ).first()
-    cuts = {name: sorted(set(sketches[name])) for name in ranks}
-
-    def long_form(parts: Mapping[str, list[int]] | None = None) -> DataFrame:
-        """One row per column and value: its interval, and of the given intervals the value too.
-
-        Values that are not wanted are left out of the array before it becomes rows.
-        """
-        entries = []
-        for name in ranks:
-            part = right_closed_index(F.col(name), cuts[name])
-            fields = [F.lit(name).alias("name"), part.alias("part")]
-            wanted = part.isNotNull()
-            if parts is not None:
-                fields.append(F.col(name).alias("value"))
-                wanted = part.isin(parts.get(name, []))
-            entries.append(F.when(wanted, F.struct(*fields)))
-        return values.select(F.inline(F.array_compact(F.array(*entries))))
+    around = [[min(max(float(f) + d, 0.0), 1.0) for d in (-margin, margin)] for f in fractions]
+    places = sorted({place for pair in around for place in pair})
+    sketches = [F.percentile_approx(name, places, SKETCH_ACCURACY).alias(f"c_{name}") for name in values.columns]
+    counts = [F.count(name).alias(f"n_{name}") for name in values.columns]
+    row = values.agg(*counts, *sketches).first()
+    found = {}
+    for name in values.columns:
+        if not row[f"n_{name}"]:
+            continue
+        at = dict(zip(places, row[f"c_{name}"]))
+        cuts = sorted(set(at.values()))
+        near = {2 * i for low, high in around for i in range(cuts.index(at[low]) + 1, cuts.index(at[high]) + 1)}
+        found[name] = _Column(row[f"n_{name}"], cuts, near)
+    return found
+
+
+def _counted(values: DataFrame, columns: Mapping[str, _Column]) -> DataFrame:
+    """Second reading: ``name, part, value, rows``; the value is null outside the near intervals."""
+    entries = []
+    for name, column in columns.items():
+        value, part = F.col(name), column.part(F.col(name))
+        kept = F.when(part.isin(sorted(column.near)), value) if column.near else F.lit(None).cast("double")
+        fields = F.struct(F.lit(name).alias("name"), part.alias("part"), kept.alias("value"))
+        entries.append(F.when(value.isNotNull(), fields))
+    return (
+        values.select(F.inline(F.array_compact(F.array(*entries))))
+        .groupBy("name", "part", "value")
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+
 
+def _ranked(
+    values: DataFrame, columns: Mapping[str, _Column], ranks: Mapping[str, Sequence[int]]
+) -> dict[tuple[str, int], float]:
+    """Values at the given ranks of each column, in one reading.
+
+    Rows are counted by part, and by value in the near intervals, where the sketch says that the
+    wanted ranks are. A rank at a cut point is known by then; for the others the values of their
+    interval are ordered. Should a rank lie elsewhere, its interval is read as well: the sketch
+    decides how much is ordered, never the result.
+    """
+    collapsed = materialize(_counted(values, columns))
     counts = {
-        (row["name"], row["part"]): row["count"]
-        for row in long_form().groupBy("name", "part").count().collect()
+        (row["name"], row["part"]): row["rows"]
+        for row in collapsed.groupBy("name", "part").agg(F.sum("rows").alias("rows")).collect()
     }
-    targets = []
+    found, targets, missed = {}, [], {}
     for name, wanted in ranks.items():
-        before = 0
-        for part in range(len(cuts[name]) + 1):
+        column, before = columns[name], 0
+        for part in range(2 * len(column.cuts) + 1):
             size = counts.get((name, part), 0)
-            targets += [(name, part, r, r - before) for r in wanted if before <= r < before + size]
+            for rank in (r for r in wanted if before <= r < before + size):
+                if part % 2:
+                    found[(name, rank)] = column.cuts[part // 2]
+                elif part in column.near:
+                    targets.append((name, part, rank, rank - before))
+                else:
+                    missed.setdefault(name, set()).add(part)
             before += size
-
-    intervals: dict[str, list[int]] = {}
-    for name, part in sorted({(name, part) for name, part, _, _ in targets}):
-        intervals.setdefault(name, []).append(part)
-    collapsed = (
-        long_form(intervals).groupBy("name", "part", "value").agg(F.count(F.lit(1)).alias("rows"))
-    )
+    if missed:
+        wider = {n: replace(c, near=c.near | missed.get(n, set())) for n, c in columns.items()}
+        return _ranked(values, wider, ranks)
+    if not targets:
+        return found
     # One row per column and wanted rank.
     wanted_ranks = values.sparkSession.createDataFrame(
         targets, "name string, part int, rank long, local long"
@@ -86,12 +119,13 @@ def _ranked(
     inside = (F.col("rows_before") <= F.col("local")) & (
         F.col("local") < F.col("rows_before") + F.col("rows")
     )
+    near = collapsed.join(F.broadcast(wanted_ranks.select("name", "part")), ["name", "part"], "left_semi")
     picked = (
-        with_running_totals(collapsed, ["name", "part"], "value", ["rows"])
+        with_running_totals(near, ["name", "part"], "value", ["rows"])
         .join(F.broadcast(wanted_ranks), ["name", "part"])
         .where(inside)
     )
-    return {
+    return found | {
         (row["name"], row["rank"]): row["value"]
         for row in picked.select("name", "rank", "value").collect()
     }
@@ -105,28 +139,27 @@ def column_quantiles(
     """Quantiles of several numeric columns; null and NaN are left out, no values gives None.
 
     Only counts and the found values reach the driver: columns × quantiles numbers. ``df`` is
-    read four times, the wanted columns only: persist it when it is an expensive plan.
+    read twice, the wanted columns only: persist it when it is an expensive plan.
     """
     if not columns or not fractions:
         return {name: None for name in columns}
     labels = {f"v{i}": label for i, label in enumerate(columns)}
     values = df.select(*[number_or_null(columns[label]).alias(n) for n, label in labels.items()])
-    rows = values.agg(*[F.count(name).alias(name) for name in labels]).first().asDict()
+    sketched = _sketched(values, fractions)
     ranks = {
-        name: sorted({rank for f in fractions for rank in _place(f, rows[name])[:2]})
-        for name in labels
-        if rows[name]
+        name: sorted({rank for f in fractions for rank in _place(f, column.rows)[:2]})
+        for name, column in sketched.items()
     }
-    found = _ranked(values, ranks, fractions) if ranks else {}
+    found = _ranked(values, sketched, ranks) if ranks else {}
 
     result: dict[str, list[float] | None] = {}
     for name, label in labels.items():
-        if not rows[name]:
+        if name not in sketched:
             result[label] = None
             continue
         result[label] = []
         for fraction in fractions:
-            low, high, weight = _place(fraction, rows[name])
+            low, high, weight = _place(fraction, sketched[name].rows)
             lower, upper = found[(name, low)], found[(name, high)]
             result[label].append(lower if lower == upper else lower + (upper - lower) * weight)
     return result

@@ -142,8 +142,39 @@ def test_holdout_of_equal_rows_is_exact(spark, copies):
 def test_quantile_plan_gathers_no_values(skewed, monkeypatch):
     df, _ = skewed
     plans = []
-    real = quantiles.with_running_totals
-    monkeypatch.setattr(quantiles, "with_running_totals", lambda d, *a: plans.append(d) or real(d, *a))
-    quantiles.column_quantiles(df, {"v": F.col("v")}, [Fraction(1, 2)])
-    assert len(plans) == 1
-    assert "collect_list" not in plans[0]._jdf.queryExecution().toString()
+    for name in ("materialize", "with_running_totals"):
+        real = getattr(quantiles, name)
+        monkeypatch.setattr(quantiles, name, lambda d, *a, real=real: plans.append(d) or real(d, *a))
+    quantiles.column_quantiles(df, {"v": F.col("v"), "w": F.col("w")}, [Fraction(1, 2)])
+    assert len(plans) == 2  # the second reading, and the ordering of the near values
+    assert not any("collect_list" in d._jdf.queryExecution().toString() for d in plans)
+
+
+def test_quantiles_read_the_data_twice(spark, skewed, tmp_path):
+    df, pdf = skewed
+    df.write.parquet(str(tmp_path / "t"))
+    read = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    table = spark.read.parquet(str(tmp_path / "t")).select("v", "w")
+    counted = table.mapInArrow(rows, table.schema)
+    quantiles.column_quantiles(counted, {n: F.col(n) for n in ("v", "w")}, quantiles.even_fractions(10))
+    assert read.value == 2 * len(pdf)
+
+
+def test_a_rank_outside_the_near_intervals_is_found_all_the_same(skewed, monkeypatch):
+    df, pdf = skewed
+    real = quantiles._sketched
+
+    def blind(*args):
+        found = real(*args)
+        return {name: quantiles.replace(column, near=set()) for name, column in found.items()}
+
+    monkeypatch.setattr(quantiles, "_sketched", blind)
+    got = quantiles.column_quantiles(df, {n: F.col(n) for n in ("v", "w")}, quantiles.even_fractions(4))
+    for name in ("v", "w"):
+        np.testing.assert_allclose(got[name], np.quantile(pdf[name], np.linspace(0, 1, 5)), rtol=1e-12)
