@@ -64,7 +64,8 @@ def with_stratified_holdout(
     )
     # One row per class from here on.
     in_slice = hashed.withColumn("slice", prefix).join(F.broadcast(limit_slice), [label, "slice"])
-    in_slice = in_slice.select(label, "inside", "__place", "__place.hash", "__place.tie")
+    # Ordering samples its rows before it deals them out; the slice is small, df is not.
+    in_slice = materialize(in_slice.select(label, "inside", "__place", "__place.hash", "__place.tie"))
     limit = (
         with_row_number(in_slice, [label], ["hash", "tie"], "n")
         .groupBy(label, "__place", "inside")
@@ -74,11 +75,17 @@ def with_stratified_holdout(
             F.col(label).alias("__class"),
             F.col("__place").alias("__limit"),
             (F.col("inside") - F.col("first") + 1).alias("__take"),
+            (F.col("inside") < F.col("last")).alias("__some_left"),
         )
     )
+    limit = materialize(limit)
     marked = df.withColumn("__place", place).join(
-        F.broadcast(materialize(limit)), F.col(label).eqNullSafe(F.col("__class")), "left"
+        F.broadcast(limit), F.col(label).eqNullSafe(F.col("__class")), "left"
     )
+    helpers = ("__place", "__limit", "__take", "__class", "__some_left")
+    if limit.where("__some_left").isEmpty():  # no limit lies within a set of equal rows
+        up_to = F.coalesce(F.col("__place") <= F.col("__limit"), F.lit(False))
+        return marked.withColumn("holdout", up_to).drop(*helpers)
     at_limit = F.coalesce(F.col("__place") == F.col("__limit"), F.lit(False))
     rest = marked.where(~at_limit).withColumn(
         "holdout", F.coalesce(F.col("__place") < F.col("__limit"), F.lit(False))
@@ -87,7 +94,7 @@ def with_stratified_holdout(
     equal = numbered(marked.where(at_limit), [label], "__n").withColumn(
         "holdout", F.col("__n") <= F.col("__take")
     )
-    return rest.unionByName(equal.drop("__n")).drop("__place", "__limit", "__take", "__class")
+    return rest.unionByName(equal.drop("__n")).drop(*helpers)
 
 
 def bootstrap_sample(
