@@ -121,6 +121,7 @@ SEARCH_DRAWS = 25
 LOG_REG = "log_reg"
 BOOSTED_TREES = "xgboost"
 MODEL_TYPES = [BOOSTED_TREES, LOG_REG]
+MODEL_PREFIX = "credit_model_"
 LOG_REG_GRID = {
     "C": [0.01, 0.1, 1.0, 10.0],
     "class_weight": [None, "balanced"],

@@ -22,6 +22,33 @@ def valid_artifacts(artifacts: DataFrame) -> DataFrame:
     )
 
 
+def rejected_artifacts(artifacts: DataFrame) -> DataFrame:
+    """The artifacts that are no valid models, with the rules each one fails, in a fixed order."""
+    version = F.trim(F.coalesce("model_version", F.lit("")))
+    named = F.when(version == "", "no version").when(
+        ~version.eqNullSafe(F.col("file_stem")), "version is not the file's name"
+    )
+    missing = [F.when(F.col(name).isNull() | F.isnan(name), f"no {name}") for name in RANK_BY]
+    reasons = F.array_compact(F.array(named, *missing))
+    return artifacts.select(
+        "file_stem", "model_version", "model_type", F.array_join(reasons, "; ").alias("reason")
+    ).where(F.col("reason") != "")
+
+
+def typed_history(history: DataFrame, log: DataFrame) -> DataFrame:
+    """Monitoring rows with their model's type, from the registry or, where it is gone, its name."""
+    known = log.select("model_version", F.col("model_type").alias("__type")).distinct()
+    named = F.coalesce(
+        *[F.when(F.col("model_version").startswith(f"{K.MODEL_PREFIX}{t}_"), t) for t in K.MODEL_TYPES]
+    )
+    return (
+        history.drop("model_type")
+        .join(known, "model_version", "left")
+        .withColumn("model_type", F.coalesce("__type", named))
+        .drop("__type")
+    )
+
+
 def best_by_type(models: DataFrame) -> DataFrame:
     """Best model of each type: AUC out-of-time, then test, then train, then the smaller name."""
     ties = models.groupBy("model_type", *RANK_BY).agg(F.min("model_version").alias("model_version"))

@@ -19,8 +19,11 @@ def training_due(spark: SparkSession, model_root: str, run_date: str) -> DataFra
 def retrain_requests(
     spark: SparkSession, lake: str, model_root: str, snapshot: str
 ) -> DataFrame:
-    """Per model type, whether drift at this snapshot asks for retraining."""
+    """Per model type, whether drift at this snapshot asks for retraining.
+
+    A monitored model asks also where the registry no longer holds it.
+    """
     history = spark.read.parquet(f"{lake}/gold/model_monitoring/history")
     log = revisions.read_revision(spark, f"{model_root}/registry", REGISTRY_SCHEMA)
-    typed = history.join(log.select("model_version", "model_type"), "model_version")
+    typed = registry.typed_history(history, log)
     return registry.retrain_decisions(typed, F.lit(snapshot).cast("date"))

@@ -213,7 +213,7 @@ def train_model(
 ) -> str:
     """Fit a model, save its pipeline and facts under ``model_root`` and register it."""
     fit = fit_model(labels, features, train_date, model_type, candidates)
-    base = f"credit_model_{model_type}_{train_date.replace('-', '_')}"
+    base = f"{K.MODEL_PREFIX}{model_type}_{train_date.replace('-', '_')}"
     version = claim_version(spark, model_root, base)
     fit.model.write().save(f"{model_root}/artifacts/{version}")
 
@@ -249,6 +249,12 @@ def claim_version(spark: SparkSession, model_root: str, base: str) -> str:
         number += 1
 
 
+def rejected_models(spark: SparkSession, model_root: str) -> DataFrame:
+    """Saved models that reconciling leaves out of the registry, with the reason."""
+    facts = read_table(spark, f"{model_root}/facts", FACTS_SCHEMA)
+    return registry.rejected_artifacts(facts)
+
+
 def reconcile_registry(spark: SparkSession, model_root: str) -> DataFrame:
     """Bring the registry in line with the saved models; returns the versions that came or went."""
     facts = read_table(spark, f"{model_root}/facts", FACTS_SCHEMA)

@@ -93,3 +93,33 @@ def test_revisions(spark, tmp_path):
     got = revisions.read_revision(spark, path, REGISTRY_SCHEMA)
     assert [r["model_version"] for r in got.collect()] == ["b"]
     assert got.columns == list(K.REGISTRY_COLUMNS)
+
+
+def test_rejected_artifacts_name_every_failed_rule(spark):
+    rows = [
+        ("a", "t", "a", 0.7, 0.7, 0.7), ("", "t", "b", 0.7, 0.7, 0.7), (None, "t", "c", None, 0.7, 0.7),
+        ("d", None, "e", 0.7, float("nan"), None), ("f", "t", None, 0.7, 0.7, 0.7), (" g ", "t", "g", 0.7, 0.7, 0.7),
+    ]
+    df = spark.createDataFrame(rows, ARTIFACT)
+    got = {(r.model_version, r.file_stem): r.reason for r in R.rejected_artifacts(df).collect()}
+    assert got == {
+        ("", "b"): "no version",
+        (None, "c"): "no version; no auc_oot",
+        ("d", "e"): "version is not the file's name; no auc_test; no auc_train",
+        ("f", None): "version is not the file's name",
+    }
+    # Every artifact is either a model or rejected.
+    assert R.valid_artifacts(df).count() + len(got) == len(rows)
+
+
+def test_a_monitored_model_that_is_gone_from_the_registry_still_asks(spark):
+    version = f"{K.MODEL_PREFIX}{K.LOG_REG}_2024_09_01_v1"
+    day = F.lit("2024-10-01").cast("date")
+    history = spark.createDataFrame([(version, True), ("unknown", True)], "model_version string, retrain_required boolean")
+    history = history.withColumn(K.SNAPSHOT, day)
+    typed = R.typed_history(history, spark.createDataFrame([], REGISTRY_SCHEMA))
+    asked = {r["model_type"]: r["retrain_required"] for r in R.retrain_decisions(typed, day).collect()}
+    assert asked == {K.LOG_REG: True, K.BOOSTED_TREES: False}
+    log = spark.createDataFrame([("unknown", K.BOOSTED_TREES)], "model_version string, model_type string")
+    typed = R.typed_history(history, log)
+    assert {r["model_version"]: r["model_type"] for r in typed.collect()} == {version: K.LOG_REG, "unknown": K.BOOSTED_TREES}

@@ -629,6 +629,12 @@ def reconciled(spark, sf):
     return registry.reconciled(V.artifacts(spark, sf), V.old_log(spark, sf))
 
 
+@query
+def registry_rejects(spark, sf):
+    """Invalid artifacts with their reasons."""
+    return registry.rejected_artifacts(V.artifacts(spark, sf))
+
+
 @query
 def registry_champions(spark, sf):
     return reconciled(spark, sf).select(

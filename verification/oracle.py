@@ -825,6 +825,12 @@ def statements() -> dict[str, str]:
           PARTITION BY model_version ORDER BY snapshot_date DESC) = 1""",
         "snapshot_date",
     )
+    sql["registry_rejects"] = _shaped(
+        """SELECT file_stem, model_version, model_type, concat_ws('; ',
+            CASE WHEN file_stem <> model_version THEN 'version is not the file''s name' END,
+            CASE WHEN auc_oot IS NULL THEN 'no auc_oot' END) AS reason
+        FROM artifacts WHERE file_stem <> model_version OR auc_oot IS NULL"""
+    )
     sql["registry_champions"] = _shaped(
         """SELECT model_version, model_type, auc_oot, auc_test, auc_train, champion, challenger
         FROM reconciled""",
