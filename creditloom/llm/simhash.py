@@ -19,16 +19,21 @@ are made and met. Buckets are sized by the number of distinct fingerprints, so t
 Null and empty texts have fingerprint zero and link like any others. Repeated rows and texts meet
 in their fingerprint. Null ids take part, but no component is named after one.
 
-A few bits reach only near-identical texts: 0.8 of common shingles is about ten bits of 64. So
-``deduplicated`` can go by the shingle sets instead. Texts with a Jaccard similarity of at least
-``t`` share one of their ``n - ceil(t n) + 1`` smallest shingle hashes, so those are what texts meet
-at; lengths and places there rule out most pairs, and the others are counted on the whole sets.
-Where more than ``CROWD`` texts share a hash, each is compared with ``LEADERS`` of them only.
+Three bits of one fingerprint reach only near-identical texts: at a Jaccard similarity of 0.8 about
+a seventh of all bits differ. So ``deduplicated`` can go by the shingle sets instead, with ``BANDS``
+short fingerprints of each set. Every one of them is ball-hashed at a radius of two bits (all
+variants of one flip, met at equal variants); who meets in any of them, with lengths and wider
+fingerprints that allow the similarity, is counted on the whole sets. A pair at 0.8 exactly is
+within two bits in one band or more with a probability of 0.98, at 0.825 of 0.994, and above 0.85
+practically always; no count of partners or candidates is limited.
+
+Crowds of similar texts are joined first, by one partner each: a text is counted against the
+smallest one that shares the most whole bands with it. Later only texts of different classes are
+compared, first each with its nearest, and what is still apart then with all others it met.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -45,9 +50,13 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 3
 BITS = 64
-CROWD = 32  # texts at one shingle hash that are compared pair by pair
-LEADERS = 8
-CANDIDATE_BITS = 26  # of the table that tells texts without a candidate
+BANDS = 20  # short fingerprints of a shingle set
+BAND_BITS = 28
+PARTS = ((0, 10), (10, 19), (19, 28))  # of two differing bits, one of three parts has none
+WORDS = BANDS // 2  # a word holds two bands
+CHECK_WORDS = 5  # compared where texts meet
+CHECK_BITS = 64  # that may differ there, of 280; at 0.8 they are 42 with a deviation of 6
+BUCKET_TEXTS = 4_000  # wanted in a bucket of one part of a band
 BUCKET_FINGERPRINTS = 4_000  # wanted of distinct fingerprints to a bucket's own bits
 
 _FLIPS = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
@@ -253,6 +262,11 @@ def groups(docs: DataFrame) -> DataFrame:
 
 # --- Similar shingle sets -------------------------------------------------------------------
 
+_BAND = (1 << BAND_BITS) - 1
+_SPREADS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_SIGNS = [f"w{i}" for i in range(WORDS)]
+_CHECKS = _SIGNS[:CHECK_WORDS]
+
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """The distinct shingle hashes in rising order; all texts without words have the same one."""
@@ -260,105 +274,182 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return found if len(found) else np.zeros(1, np.int64)
 
 
-def _least(n: int, similarity: float) -> int:
-    """Of ``n`` shingles, those that a text with the similarity has at least."""
-    return max(1, math.ceil(similarity * n - 1e-9))
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """``WORDS`` words of two bands each: bitwise majorities of as many mixed forms of the hashes."""
+    counts = np.zeros(WORDS * 64, np.int64)
+    plain = hashes.view(np.uint64)
+    for first in range(0, len(plain), 255):  # as many as a byte can count
+        mixed = plain[first : first + 255, None] + _SPREADS[None, :]
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        octets = (mixed ^ (mixed >> np.uint64(31))).astype("<u8").view(np.uint8).reshape(len(mixed), -1)
+        counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    ones = (2 * counts > len(plain)).reshape(WORDS, 64)
+    ones[:, 2 * BAND_BITS :] = False
+    return np.packbits(ones, axis=1, bitorder="little").view("<u8").ravel().view(np.int64)
 
 
-def _prefixes(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``tie, n, prefix`` of each text: the number of its shingles and the smallest hashes."""
+def _signed(keyed: DataFrame, shingle: int) -> DataFrame:
+    """``tie, n`` and the signature's words, once for each distinct text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text.as_py(), shingle) for text in batch.column("text")]
-            prefixes = [x[: len(x) - _least(len(x), similarity) + 1] for x in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("tie"),
-                    pa.array([len(x) for x in sets], pa.int32()),
-                    pa.array(prefixes, pa.list_(pa.int64())),
-                ],
-                ["tie", "n", "prefix"],
-            )
-
-    return keyed.select("tie", "text").mapInArrow(rows, "tie long, n int, prefix array<long>")
-
-
-def _candidates(prefixes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a, b`` of texts that may be similar, ``a`` the smaller one."""
-    posted = prefixes.select("tie", "n", F.posexplode("prefix").alias("at", "hash"))
-    counts = posted.groupBy("hash").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
-    shared = materialize(posted.join(counts, "hash"))
-    one = F.struct("tie", "n", "at")
-    few = (
-        shared.where(F.col("met") <= CROWD)
-        .groupBy("hash")
-        .agg(F.collect_list(one).alias("all"))
-        .select("all", F.explode("all").alias("x"))
-        .select("x", F.explode("all").alias("y"))
-    )
-    crowd = shared.where(F.col("met") > CROWD)
-    leaders = (
-        crowd.groupBy("hash", F.pmod("tie", F.lit(LEADERS)).alias("slot"))
-        .agg(F.min(one).alias("leader"))
-        .groupBy("hash")
-        .agg(F.collect_list("leader").alias("leaders"))
+            ties, first = np.unique(batch.column("tie").to_numpy(), return_index=True)
+            sets = [shingle_set(batch.column("text")[int(i)].as_py(), shingle) for i in first]
+            words = np.array([signature(x) for x in sets], np.int64).reshape(-1, WORDS)
+            sizes = np.array([len(x) for x in sets], np.int64)
+            columns = [ties, sizes, *np.ascontiguousarray(words.T)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["tie", "n", *_SIGNS])
+
+    found = keyed.select("tie", "text").mapInArrow(rows, ", ".join(f"{name} long" for name in ["tie", "n", *_SIGNS]))
+    return found.groupBy("tie").agg(*[F.first(name).alias(name) for name in ["n", *_SIGNS]])
+
+
+def _banded(signed: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, ``band`` and ``code``, the band's bits, for each band of each text."""
+    each = signed.select(*columns, F.array(*_SIGNS).alias("words"), F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    word = F.expr("words[band div 2]")
+    code = F.when(F.col("band") % 2 == 0, word).otherwise(F.shiftrightunsigned(word, BAND_BITS)).bitwiseAND(F.lit(_BAND))
+    return each.select(*columns, "band", code.alias("code"))
+
+
+def _partners(signed: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of a text and that with which it shares most bands, the smallest there, and two at least."""
+    posted = _banded(signed, "tie").select("tie", (F.col("band").cast("long") * (_BAND + 1) + F.col("code")).alias("key"))
+    least = posted.groupBy("key").agg(F.min("tie").alias("centre"), F.count(F.lit(1)).alias("met")).where("met > 1")
+    shared = posted.join(least.drop("met"), "key").where("tie <> centre").groupBy("tie", "centre").count()
+    best = F.max_by("centre", F.struct("count", F.bitwise_not("centre").alias("least")))
+    chosen = shared.where("count > 1").groupBy("tie").agg(best.alias("centre"))
+    return chosen.select(F.col("centre").alias("a"), F.col("tie").alias("b"))
+
+
+def _bucket_pairs(rows: pd.DataFrame, part: int, similarity: float) -> pd.DataFrame:
+    """Pairs of texts with different roots that meet at a variant outside the part and may be similar."""
+    rows = rows.sort_values(["root", "tie"], kind="stable")
+    codes, ties, sizes, roots = (rows[name].to_numpy(np.int64) for name in ("code", "tie", "n", "root"))
+    words = rows[_CHECKS].to_numpy(np.int64).view(np.uint64)
+    low, high = PARTS[part]
+    flips = np.array([0, *[1 << i for i in range(BAND_BITS) if not low <= i < high]], np.int64)
+    variants = (codes[:, None] ^ flips[None, :]).ravel()
+    places = np.repeat(np.arange(len(codes)), len(flips))
+    order = np.argsort(variants, kind="stable")
+    variants, places = variants[order], places[order]
+    # Within a variant texts stand by root: each meets all that stand behind its own root's block.
+    new_run = np.concatenate([[True], variants[1:] != variants[:-1]])
+    new_block = new_run | np.concatenate([[True], roots[places[1:]] != roots[places[:-1]]])
+    runs, blocks = np.flatnonzero(new_run), np.flatnonzero(new_block)
+    run_end = np.append(runs[1:], len(places))[np.cumsum(new_run) - 1]
+    block_end = np.append(blocks[1:], len(places))[np.cumsum(new_block) - 1]
+    partners = run_end - block_end
+    found = [np.zeros((0, 3), np.int64)]
+    busy = np.flatnonzero(partners)
+    ends = np.cumsum(partners[busy])
+    first = 0
+    while first < len(busy):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + 500_000, "right")))
+        part_of = busy[first:last]
+        counts = partners[part_of]
+        left = np.repeat(part_of, counts)
+        steps = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        x, y = places[left], places[block_end[left] + steps]
+        fits = np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y]) - 1e-9
+        x, y = x[fits], y[fits]
+        gaps = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
+        near = gaps <= CHECK_BITS
+        x, y = ties[x[near]], ties[y[near]]
+        found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), gaps[near]], axis=1), axis=0))
+        first = last
+    return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b", "gap"])
+
+
+def _meetings(signed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` with different ``root`` that meet in a band, and ``gap``, their differing bits."""
+    n = signed.count()
+    bits = int(np.clip(np.ceil(np.log2(max(n, 1) / BUCKET_TEXTS)), 0, min(high - low for low, high in PARTS)))
+    own = F.expr("code")
+    slots = [
+        F.struct(F.lit(i).alias("part"), F.shiftright(own, low).bitwiseAND(F.lit((1 << bits) - 1)).alias("bucket"))
+        for i, (low, _) in enumerate(PARTS)
+    ]
+    carried = ["tie", "n", "root", *_CHECKS]
+    dealt = (
+        _banded(signed, *carried)
+        .select(*carried, "band", "code", F.explode(F.array(*slots)).alias("slot"))
+        .select(*carried, "band", "code", "slot.part", "slot.bucket")
     )
-    many = crowd.join(leaders, "hash").select(one.alias("x"), F.explode("leaders").alias("y"))
-    # If the hash is the first common one, no more than what follows it can be common.
-    most = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
-    wanted = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9
-    a, b = F.col("x.tie"), F.col("y.tie")
-    met = few.where("x.tie < y.tie").union(many.where("x.tie <> y.tie")).where(most >= wanted)
-    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _bucket_pairs(pdf, int(pdf["part"].iloc[0]), similarity)
 
-def similar(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Pairs ``a, b`` of the ``tie`` of texts whose shingle sets have the Jaccard similarity."""
-    # Equal texts have equal shingles; one row of them is enough.
-    prefixes = _prefixes(keyed, shingle, similarity).groupBy("tie").agg(
-        F.first("n").alias("n"), F.first("prefix").alias("prefix")
-    )
-    pairs = materialize(_candidates(prefixes, similarity))
+    met = dealt.groupBy("band", "part", "bucket").applyInPandas(pairs, "a long, b long, gap long")
+    return materialize(met.distinct())
+
+
+def _texts_of(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``tie, text`` of the texts in the pairs."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("tie")).distinct()
-    # The table keeps texts without a candidate from being cut into shingles again.
-    spot = F.pmod("tie", F.lit(1 << CANDIDATE_BITS))
-    marks = nodes.groupBy(F.bitmap_bucket_number(spot).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")
+    return materialize(
+        keyed.select("tie", "text").join(nodes, "tie", "left_semi").groupBy("tie").agg(F.first("text").alias("text"))
     )
-    table = {row["bucket"]: np.frombuffer(bytes(row["bits"]), np.uint8) for row in marks.collect()}
-    if not table:
-        return pairs
+
+
+def _counted(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs ``a, b`` whose whole shingle sets have the similarity."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
         for batch in batches:
-            ties, sets = [], []
-            for tie, text in zip(batch.column("tie").to_pylist(), batch.column("text")):
-                # Spark counts a bitmap's numbers from 1, in buckets from 1.
-                at = tie % (1 << CANDIDATE_BITS) - 1
-                bits = table.get(at // 32768 + 1) if at >= 0 else table.get(0)
-                place = at % 32768 if at >= 0 else 0
-                if bits is not None and bits[place >> 3] >> (place & 7) & 1 and tie not in seen:
-                    seen.add(tie)
-                    ties.append(tie)
-                    sets.append(shingle_set(text.as_py(), shingle))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ties, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["tie", "shingles"]
-            )
-
-    known = (
-        keyed.select("tie", "text")
-        .mapInArrow(rows, "tie long, shingles array<long>")
-        .join(nodes, "tie", "left_semi")
-        .groupBy("tie")
-        .agg(F.first("shingles").alias("shingles"))
+            keep, last, one = [], None, None
+            for a, left, right in zip(batch.column("a").to_pylist(), batch.column("left"), batch.column("right")):
+                if a != last:
+                    last, one = a, shingle_set(left.as_py(), shingle)
+                other = shingle_set(right.as_py(), shingle)
+                common = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(common >= similarity * (len(one) + len(other) - common) - 1e-9)
+            kept = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield kept
+
+    both = (
+        pairs.select("a", "b")
+        .join(texts.toDF("b", "right"), "b")
+        .join(texts.toDF("a", "left"), "a")
+        .select("a", "b", "left", "right")
     )
-    known = materialize(known)
-    both = pairs.join(known.toDF("a", "left"), "a").join(known.toDF("b", "right"), "b")
-    common = F.size(F.array_intersect("left", "right"))
-    union = F.size("left") + F.size("right") - common
-    return both.where(common >= similarity * union - 1e-9).select("a", "b")
+    return materialize(both.mapInArrow(rows, "a long, b long"))
+
+
+def similar(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """All pairs ``a, b`` of the ``tie`` of texts whose shingle sets have the Jaccard similarity.
+
+    A class of g similar texts has g * g / 2 pairs; ``classes`` names classes without listing them.
+    """
+    signed = materialize(_signed(keyed, shingle))
+    met = _meetings(signed.withColumn("root", F.col("tie")), similarity)
+    return _counted(met, _texts_of(met, keyed), shingle, similarity)
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose two texts have different roots; who is not in ``roots`` is its own."""
+    named = pairs.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
+    return named.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
+
+
+def classes(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``tie, root`` of all texts that reach another one over pairs with the similarity."""
+    signed = materialize(_signed(keyed, shingle))
+    first = materialize(_partners(signed))
+    links = _counted(first, _texts_of(first, keyed), shingle, similarity)
+    roots = materialize(components(links))
+    rooted = signed.join(roots.toDF("tie", "root"), "tie", "left").withColumn("root", F.coalesce("root", "tie"))
+    met = _meetings(rooted, similarity)
+    texts = _texts_of(met, keyed)
+    ends = met.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"), "gap")
+    nearest = ends.groupBy("x.a").agg(F.min_by("x.b", F.struct("gap", "x.b")).alias("b"))
+    nearest = materialize(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = links.union(_counted(nearest, texts, shingle, similarity))
+    roots = materialize(components(links))
+    rest = _apart(met.select("a", "b").join(nearest, ["a", "b"], "left_anti"), roots)
+    return materialize(components(links.union(_counted(rest, texts, shingle, similarity))).toDF("tie", "root"))
 
 
 def deduplicated(docs: DataFrame, shingle: int | None = None, similarity: float | None = None) -> DataFrame:
@@ -375,7 +466,7 @@ def deduplicated(docs: DataFrame, shingle: int | None = None, similarity: float
         marked, roots = near_duplicates(keyed.select("id", "tie", "text"), ["id", "tie"])
     else:
         marked = keyed.select("id", "tie", F.col("tie").alias("fp"))
-        roots = materialize(components(similar(keyed, shingle, similarity)).toDF("fp", "root"))
+        roots = classes(keyed, shingle, similarity).toDF("fp", "root")
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "tie")
     best = marked.groupBy("fp").agg(F.min(place).alias("best"))
     kept = (
