@@ -167,7 +167,6 @@ def test_all_similar_texts_are_found(spark, sf_dir):
     assert len(want) > 30
     found = simhash.similar(keyed, 5, 0.8).collect()
     assert {(r.a, r.b) for r in found} == want and len(found) == len(want)
-    # Crowds are compared with leaders, which link the same documents here.
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()}
     many = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(100)) + f" end{i}") for i in range(90)], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, many, sf_dir).collect()] == [0]
@@ -178,6 +177,40 @@ def test_all_similar_texts_are_found(spark, sf_dir):
     assert kept == {min(i for i, t in enumerate(ties) if parent[t] == root) for root in set(parent.values())}
 
 
+def changed(rng, words, times):
+    """The words with some replaced, at least five places apart, so that each costs five shingles."""
+    words = list(words)
+    for place in rng.sample(range(5, len(words) - 5, 6), times):
+        words[place] = f"new{rng.randrange(10**9)}"
+    return words
+
+
+def test_recall_by_similarity_and_in_a_crowd(spark):
+    rng = random.Random(11)
+
+    def fresh(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    # 196 shingles of which 5 a change differ: similarities of about 0.815, 0.858 and 0.903.
+    pairs = [(times, words, changed(rng, words, times)) for times in (4, 3, 2) for words in (fresh(200) for _ in range(60))]
+    template = fresh(120)  # about half of each text, so none of the 200 is similar to another one
+    crowd = [template + fresh(60) for _ in range(200)]
+    copies = [changed(rng, words, 2) for words in crowd[:50]]
+    texts = [" ".join(words) for _, *both in pairs for words in both] + [" ".join(words) for words in crowd + copies]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.deduplicated(docs, 5, 0.8).collect()}
+    found = Counter()
+    for place, (times, one, other) in enumerate(pairs):
+        left, right = plain_shingles(" ".join(one)), plain_shingles(" ".join(other))
+        assert len(left & right) >= 0.8 * len(left | right) and 2 * place in kept
+        found[times] += 2 * place + 1 not in kept
+    assert all(found[times] >= 0.9 * 60 for times in (4, 3, 2)), found
+    first = 2 * len(pairs)
+    assert kept >= set(range(first, first + 200))  # the template alone makes nobody a copy
+    assert len(kept & set(range(first + 200, first + 250))) <= 2
+    print("found of 60:", dict(found), "of 50 in the crowd:", 50 - len(kept & set(range(first + 200, first + 250))))
+
+
 # --- Mixing ---------------------------------------------------------------------------------
 
 
