@@ -16,28 +16,42 @@ from creditloom.operators.classification import (
     score_counts,
     with_class_metrics,
 )
-from creditloom.operators.quantiles import column_quantiles, even_fractions
+from creditloom.operators.quantiles import column_quantiles, even_fractions, group_quantiles
 from creditloom.session import materialize
 
 
+def performance_state(scored: DataFrame) -> DataFrame:
+    """``rows`` per model, months, threshold, score, predicted and actual class.
+
+    States of several prediction months add up: what ``state_summary`` and ``state_bands`` make of
+    their union is what the predictions themselves would give.
+    """
+    return scored.groupBy(
+        "model_version",
+        "prediction_snapshot_date",
+        "label_snapshot_date",
+        F.col("prediction_threshold").cast("double").alias("prediction_threshold"),
+        F.col("model_predictions").cast("double").alias("score"),
+        F.col("predicted_label").cast("int").alias("predicted"),
+        F.col("actual_label").cast("int").alias("actual"),
+    ).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def performance_summary(scored: DataFrame, evaluation_date: str) -> DataFrame:
     """One row per model over all matured predictions and one per prediction month."""
+    # Equal rows are counted once and fixed; rates and ranks both start from the counts.
+    return state_summary(materialize(performance_state(scored)), evaluation_date)
+
+
+def state_summary(state: DataFrame, evaluation_date: str) -> DataFrame:
+    """``performance_summary`` from a state, which is read twice."""
     keys = ["model_version", "performance_group"]
     month_group = F.date_format(
         "prediction_snapshot_date", f"'{K.MONTH_GROUP_PREFIX}'yyyy_MM_dd"
     )
-    # Equal rows are counted once and fixed; rates and ranks both start from the counts.
-    counted = materialize(
-        scored.groupBy(
-            "model_version",
-            "prediction_snapshot_date",
-            "label_snapshot_date",
-            "prediction_threshold",
-            F.col("model_predictions").cast("double").alias("score"),
-            F.col("predicted_label").cast("int").alias("predicted"),
-            F.col("actual_label").cast("int").alias("actual"),
-        ).agg(F.count(F.lit(1)).alias("rows"))
-    ).withColumn("performance_group", F.explode(F.array(F.lit(K.ALL_MATURED), month_group)))
+    counted = state.withColumn(
+        "performance_group", F.explode(F.array(F.lit(K.ALL_MATURED), month_group))
+    )
     rows = F.col("rows")
     total = F.sum("rows")
 
@@ -115,6 +129,16 @@ def band_names(edges: Sequence[float], digits: int = 3) -> list[str]:
     return [f"({low}, {high}]" for low, high in zip(shown, shown[1:])]
 
 
+def _bands(score: Column, quantiles: Sequence[float] | None) -> tuple[Column, Column]:
+    """The number of a score's band between the quantiles, and the name of column ``band``."""
+    edges = sorted(set(quantiles or []))
+    if len(edges) < 2:
+        band, names = F.lit(0), [K.ALL_SCORES_BAND]
+    else:
+        band, names = right_closed_index(score, edges[1:-1]), band_names(edges)
+    return band, F.element_at(F.array(*[F.lit(n) for n in names]), F.col("band") + 1)
+
+
 def score_bands(
     scored: DataFrame, bins: int = K.DEFAULT_BINS
 ) -> DataFrame:
@@ -122,12 +146,7 @@ def score_bands(
     quantiles = column_quantiles(
         scored, {"score": F.col("model_predictions")}, even_fractions(bins)
     )["score"]
-    edges = sorted(set(quantiles or []))
-    if len(edges) < 2:
-        band, names = F.lit(0), [K.ALL_SCORES_BAND]
-    else:
-        band, names = right_closed_index(F.col("model_predictions"), edges[1:-1]), band_names(edges)
-    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("band") + 1)
+    band, name = _bands(F.col("model_predictions"), quantiles)
     return (
         scored.withColumn("band", band)
         .where(F.col("band").isNotNull())
@@ -142,3 +161,31 @@ def score_bands(
         )
         .withColumn("score_band", name)
     )
+
+
+def _mean(name: str) -> Column:
+    """The mean of a state's column over the rows that have a value."""
+    weight = F.when(F.col(name).isNotNull(), F.col("rows"))
+    return F.sum(F.col(name) * F.col("rows")) / F.sum(weight)
+
+
+def state_bands(state: DataFrame, bins: int = K.DEFAULT_BINS) -> DataFrame:
+    """``score_bands`` from a state."""
+    fractions = {f"edge_{i}": fraction for i, fraction in enumerate(even_fractions(bins))}
+    edges = group_quantiles(state, [], F.col("score"), fractions, F.col("rows")).first()
+    known = None if edges is None or edges[0] is None else list(edges)
+    band, name = _bands(F.col("score"), known)
+    return (
+        state.withColumn("band", band)
+        .where(F.col("band").isNotNull())
+        .groupBy("band")
+        .agg(
+            F.sum("rows").alias("row_count"),
+            F.min("score").alias("min_score"),
+            F.max("score").alias("max_score"),
+            _mean("score").alias("avg_score"),
+            _mean("actual").alias("actual_default_rate"),
+            _mean("predicted").alias("predicted_default_rate"),
+        )
+        .withColumn("score_band", name)
+    )

@@ -166,14 +166,22 @@ def column_quantiles(
 
 
 def group_quantiles(
-    df: DataFrame, groups: Sequence[str], value: Column, fractions: Mapping[str, Fraction]
+    df: DataFrame,
+    groups: Sequence[str],
+    value: Column,
+    fractions: Mapping[str, Fraction],
+    rows: Column | None = None,
 ) -> DataFrame:
-    """One row per group with the named quantiles of ``value``; null and NaN are left out."""
+    """One row per group with the named quantiles of ``value``; null and NaN are left out.
+
+    ``rows`` weighs pre-aggregated input.
+    """
+    weight = F.lit(1) if rows is None else rows
     collapsed = (
-        df.select(*groups, number_or_null(value).alias("value"))
+        df.select(*groups, number_or_null(value).alias("value"), weight.alias("rows"))
         .where(F.col("value").isNotNull())
         .groupBy(*groups, "value")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        .agg(F.sum("rows").alias("rows"))
     )
     placed = with_running_totals(collapsed, groups, "value", ["rows"])
     picks = []

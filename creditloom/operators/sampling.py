@@ -6,7 +6,7 @@ import math
 from collections.abc import Mapping, Sequence
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -15,6 +15,7 @@ from creditloom.operators.ordering import numbered, seeded_order, with_row_numbe
 from creditloom.session import materialize
 
 _PREFIX_LENGTH = 4  # hexadecimal digits: 65,536 even slices of the hash order
+_DRAW_DIGITS = 13  # hexadecimal digits of a draw: as many bits as a double holds exactly
 
 
 def temporal_split(windows: Mapping[str, Column]) -> Column:
@@ -97,20 +98,41 @@ def with_stratified_holdout(
     return rest.unionByName(equal.drop("__n")).drop(*helpers)
 
 
+def draws(spark: SparkSession, count: int, rows: int, seed: int) -> DataFrame:
+    """``at, copies``: how often each of the places 1 to ``rows`` comes up in ``count`` draws.
+
+    Draw k hits a place by a hash of the seed and k, so the draws repeat and are made in parallel.
+    """
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id"))), 1, _DRAW_DIGITS)
+    share = F.conv(digits, 16, 10).cast("double") / F.lit(float(16**_DRAW_DIGITS))
+    place = F.floor(share * F.lit(float(rows))) + 1
+    return spark.range(count).groupBy(place.alias("at")).agg(F.count(F.lit(1)).alias("copies"))
+
+
 def bootstrap_sample(
-    df: DataFrame, fraction: float, seed: int, keys: Sequence[str] | None = None
+    df: DataFrame,
+    fraction: float,
+    seed: int,
+    keys: Sequence[str] | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Rows drawn with replacement, each on its own, about ``fraction`` of the table.
+    """``rows`` draws with replacement, by default ``fraction`` of the table's rows, rounded.
 
-    How often a row is drawn follows from a hash of its ``keys`` (all columns, if not given), so
-    the sample repeats on any partitioning: the hash is turned into a Poisson count.
+    Rows are numbered by a hash of their ``keys`` (all columns, if not given) and every draw picks
+    one number, so a row may be drawn any number of times and equal rows are drawn each on its own.
+    The sample repeats on any partitioning. An empty table gives an empty sample.
     """
-    digits = F.substring(seeded_order(keys or df.columns, seed), 1, 8)
-    chance = F.conv(digits, 16, 10).cast("double") / float(1 << 32)
-    copies, term, total = F.lit(0), math.exp(-fraction), 0.0
-    for k in range(1, 40):
-        total += term
-        copies += F.when(chance >= F.lit(total), 1).otherwise(0)
-        term *= fraction / k
-    drawn = df.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return drawn.drop("__copy")
+    order = {
+        "__hash": seeded_order(keys or df.columns, seed),
+        "__tie": F.xxhash64(*df.columns),
+    }
+    placed = with_row_number(df.withColumns(order), [], list(order), "__at")
+    total = placed.agg(F.coalesce(F.max("__at"), F.lit(0))).first()[0]
+    count = rows if rows is not None else math.floor(fraction * total + 0.5)
+    drawn = draws(df.sparkSession, count if total else 0, total, seed)
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))
+    return (
+        placed.join(drawn.toDF("__at", "__copies"), "__at")
+        .withColumn("__copy", copies)
+        .select(*df.columns)
+    )

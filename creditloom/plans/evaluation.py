@@ -1,14 +1,41 @@
-"""Evaluation of stored predictions whose labels have matured."""
+"""Evaluation of stored predictions whose labels have matured.
+
+A model's predictions and labels are counted once a month: ``performance_state`` keeps, per
+prediction month, how many rows have which score and classes, and next to it what files of
+predictions and labels they were counted from. An evaluation lists the files, which reads no data,
+counts the months whose files are others than before, and makes its rows from the counts alone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom import constants as K
 from creditloom.operators import evaluation, quality, selection, temporal
+from creditloom.operators.incremental import changed_groups, content_state
+from creditloom.session import materialize
 from creditloom.sources import tables
 
+STATE = (
+    f"model_version string, {K.SNAPSHOT} date, label_snapshot_date date,"
+    " prediction_threshold double, score double, predicted int, actual int, rows long"
+)
+INPUTS = f"{K.SNAPSHOT} date, n_rows long, checksum decimal(38,0)"
+
+
+def _due(day: str) -> Column:
+    """The month whose labels tell about predictions of ``day``."""
+    return F.add_months(day, K.LABEL_LAG_MONTHS)
+
+
+def _predictions(lake: str, model_version: str) -> str:
+    return f"{lake}/gold/model_predictions/{model_version}"
+
+
+def _state(lake: str, model_version: str) -> str:
+    return f"{lake}/gold/performance_state/{model_version}"
+
 
 def matured_rows(
     predictions: DataFrame, labels: DataFrame, model_version: str, evaluation_date: str
@@ -24,8 +51,9 @@ def matured_rows(
     )
 
 
-def check_maturity(predictions: DataFrame, model_version: str, evaluation_date: str) -> None:
-    due = temporal.maturing_predictions(predictions, model_version)
+def check_maturity(months: DataFrame, model_version: str, evaluation_date: str) -> None:
+    """Raises unless one of the prediction ``months`` has matured."""
+    due = months.select(_due(K.SNAPSHOT).alias("label_snapshot_date"))
     row = quality.maturity_check(due, evaluation_date).first()
     if not row["prediction_count"]:
         raise FileNotFoundError(f"no predictions of {model_version}")
@@ -36,6 +64,61 @@ def check_maturity(predictions: DataFrame, model_version: str, evaluation_date:
         )
 
 
+def _matured_months(months: DataFrame, evaluation_date: str) -> DataFrame:
+    return months.where(_due(K.SNAPSHOT) <= F.lit(evaluation_date).cast("date"))
+
+
+def month_inputs(
+    spark: SparkSession, lake: str, model_version: str, evaluation_date: str
+) -> DataFrame:
+    """What each matured month is counted from: the state of its prediction and label files."""
+    predictions = _matured_months(
+        tables.listed_files(spark, _predictions(lake, model_version)), evaluation_date
+    )
+    months = predictions.select(K.SNAPSHOT, _due(K.SNAPSHOT).alias("due")).distinct()
+    labels = tables.listed_files(spark, f"{lake}/gold/label_store").withColumnRenamed(K.SNAPSHOT, "due")
+    labels = labels.join(months, "due").select(*predictions.columns)
+    return content_state(predictions.unionByName(labels), [K.SNAPSHOT])
+
+
+def refresh_state(
+    spark: SparkSession, lake: str, model_version: str, evaluation_date: str
+) -> list[str]:
+    """Count the matured months whose predictions or labels changed; returns them in order.
+
+    What a month was counted from is written after its counts: a run that fails is done again.
+    """
+    path = _state(lake, model_version)
+    known = _matured_months(tables.read_table(spark, f"{path}/inputs", INPUTS), evaluation_date)
+    now = materialize(month_inputs(spark, lake, model_version, evaluation_date))
+    changed = changed_groups(known, now, [K.SNAPSHOT]).select(K.SNAPSHOT, _due(K.SNAPSHOT))
+    pending = {str(day): str(due) for day, due in changed.collect()}  # months of the calendar
+    if pending:
+        predictions = spark.read.parquet(_predictions(lake, model_version))
+        labels = spark.read.parquet(f"{lake}/gold/label_store")
+        scored = matured_rows(
+            tables.of_snapshots(predictions, pending),
+            tables.of_snapshots(labels, set(pending.values())),
+            model_version,
+            evaluation_date,
+        )
+        counted = evaluation.performance_state(scored)
+        counted = counted.withColumnRenamed("prediction_snapshot_date", K.SNAPSHOT)
+        tables.replace_snapshots(counted, f"{path}/counts", list(pending))
+        tables.replace_snapshots(now, f"{path}/inputs", list(pending))
+    return sorted(pending)
+
+
+def stored_state(
+    spark: SparkSession, lake: str, model_version: str, evaluation_date: str
+) -> DataFrame:
+    """The counts of the months matured by the date, as ``performance_state`` has them."""
+    counts = tables.read_table(spark, f"{_state(lake, model_version)}/counts", STATE)
+    return _matured_months(counts, evaluation_date).withColumnRenamed(
+        K.SNAPSHOT, "prediction_snapshot_date"
+    )
+
+
 def evaluate(
     spark: SparkSession,
     lake: str,
@@ -45,21 +128,15 @@ def evaluate(
     csv_export: bool = False,
 ) -> DataFrame:
     """Judge a model by its matured predictions, keep the result and return its summary rows."""
-    predictions = tables.read_with_file_name(
-        spark, f"{lake}/gold/model_predictions/{model_version}"
-    ).withColumnRenamed("source_file", "prediction_file")
-    check_maturity(predictions, model_version, evaluation_date)
-    months = predictions.agg(
-        F.add_months(F.min(K.SNAPSHOT), K.LABEL_LAG_MONTHS),
-        F.add_months(F.max(K.SNAPSHOT), K.LABEL_LAG_MONTHS),
-    ).first()
-    labels = tables.read_labels_between(spark, f"{lake}/gold/label_store", *months)
-    scored = matured_rows(predictions, labels, model_version, evaluation_date).persist()
+    files = tables.listed_files(spark, _predictions(lake, model_version))
+    check_maturity(files, model_version, evaluation_date)
+    refresh_state(spark, lake, model_version, evaluation_date)
+    state = stored_state(spark, lake, model_version, evaluation_date).persist()
     try:
-        if scored.isEmpty():
+        if state.isEmpty():
             raise ValueError("no matured label matches a prediction by customer and month")
-        summary = evaluation.performance_summary(scored, evaluation_date)
-        detail = evaluation.score_bands(scored, bins).select(
+        summary = evaluation.state_summary(state, evaluation_date)
+        detail = evaluation.state_bands(state, bins).select(
             F.lit(model_version).alias("model_version"),
             F.lit(evaluation_date).alias("evaluation_date"),
             "score_band",
@@ -79,7 +156,7 @@ def evaluate(
             csv_path = f"{root}_csv/{name}" if csv_export else None
             tables.upsert(rows, f"{root}/{name}", keys, part, csv_path=csv_path)
     finally:
-        scored.unpersist()
+        state.unpersist()
     return (
         spark.read.schema(summary.schema)
         .parquet(f"{root}/history")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pytest
+from pandas.testing import assert_frame_equal
 from pyspark.sql import functions as F
 
 from creditloom import constants as K
 from creditloom.functions.months import month_sequence
+from creditloom.operators import evaluation as judged
 from creditloom.operators import registry
 from creditloom.plans import backfill, evaluation, monitoring, retraining, scoring, training
 from creditloom.sources import revisions, tables
@@ -228,6 +230,45 @@ def test_second_model_is_versioned_and_compared(spark, lake, models):
     assert {r["model_type"]: r["retrain_required"] for r in asked.collect()} == dict.fromkeys(K.MODEL_TYPES, False)
 
 
+def test_evaluation_reads_only_changed_months(spark, lake, models, monkeypatch):
+    root, version = models
+    date, store = "2024-12-01", f"{lake}/gold/label_store"
+    scoring.score_new_months(spark, lake, root, model_type=K.LOG_REG, first="2024-03-01")
+
+    def whole():
+        """Summary and bands from all rows, without a state."""
+        predictions = spark.read.parquet(f"{lake}/gold/model_predictions/{version}")
+        scored = evaluation.matured_rows(predictions, spark.read.parquet(store), version, date)
+        return judged.performance_summary(scored, date), judged.score_bands(scored)
+
+    def same(got, want, key):
+        got, want = (df.toPandas().sort_values(key).reset_index(drop=True) for df in (got, want))
+        assert_frame_equal(got[sorted(want.columns)], want[sorted(want.columns)])
+
+    def check():
+        summary, bands = whole()
+        got = evaluation.evaluate(spark, lake, version, date).drop("created_at")
+        same(got, summary.drop("created_at"), "performance_group")
+        detail = spark.read.parquet(f"{lake}/gold/model_performance/detail").where(F.col("evaluation_date") == date)
+        same(detail.select(*bands.drop("band").columns), bands.drop("band"), "min_score")
+
+    check()
+    counts = f"{lake}/gold/performance_state/{version}/counts"
+    before = {row["path"]: row["snapshot_date"] for row in tables.listed_files(spark, counts).collect()}
+    with monkeypatch.context() as patch:
+        patch.setattr(evaluation, "matured_rows", None)  # nothing is counted again
+        assert evaluation.refresh_state(spark, lake, version, date) == []
+        assert evaluation.evaluate(spark, lake, version, "2024-10-01").count() == 3
+
+    labels = tables.of_snapshots(spark.read.parquet(store), ["2024-10-01"]).checkpoint()
+    tables.write_snapshots(labels.withColumn("label", 1 - F.col("label")), store)
+    assert evaluation.refresh_state(spark, lake, version, date) == ["2024-04-01"]
+    after = {row["path"]: row["snapshot_date"] for row in tables.listed_files(spark, counts).collect()}
+    assert {str(day) for path, day in after.items() if path not in before} == {"2024-04-01"}
+    check()
+    tables.write_snapshots(labels, store)
+
+
 def test_one_class_cannot_train(spark, lake):
     labels = spark.read.parquet(f"{lake}/gold/label_store").withColumn("label", F.lit(0))
     features = spark.read.parquet(f"{lake}/gold/feature_store")

@@ -108,9 +108,21 @@ def test_stratified_holdout(skewed):
 def test_bootstrap(skewed):
     df, pdf = skewed
     drawn = sampling.bootstrap_sample(df, 1.0, 5)
-    n = drawn.count()
-    assert abs(n - len(pdf)) < 0.1 * len(pdf)
-    assert drawn.select("key").distinct().count() < n
+    assert drawn.count() == len(pdf) and drawn.columns == df.columns
+    seen = drawn.select("key").distinct().count() / len(pdf)
+    assert abs(seen - (1 - np.exp(-1))) < 0.05
+    assert sampling.bootstrap_sample(df, 0.25, 5).count() == int(0.25 * len(pdf) + 0.5)
+
+
+def test_bootstrap_of_equal_and_of_few_rows(spark):
+    equal = spark.createDataFrame([("x",)] * 200 + [(None,)] * 100, "key string")
+    drawn = sampling.bootstrap_sample(equal, 1.0, 5).groupBy("key").count().collect()
+    counts = {row["key"]: row["count"] for row in drawn}
+    assert sum(counts.values()) == 300 and 160 < counts["x"] < 240
+    few = sampling.bootstrap_sample(spark.createDataFrame([("a",), ("b",)], "key string"), 1.0, 5, rows=1000)
+    counts = {row["key"]: row["count"] for row in few.groupBy("key").count().collect()}
+    assert sum(counts.values()) == 1000 and min(counts.values()) > 400
+    assert sampling.bootstrap_sample(equal.limit(0), 1.0, 5, rows=10).isEmpty()
 
 
 def test_bootstrap_repeats_on_any_partitioning(skewed):

@@ -576,6 +576,16 @@ def score_bands_matured(spark, sf):
     return evaluation.score_bands(evaluated(spark, sf)).drop("score_band")
 
 
+@query
+def performance_state(spark, sf):
+    return evaluation.performance_state(evaluated(spark, sf))
+
+
+@query
+def score_bands_from_state(spark, sf):
+    return evaluation.state_bands(performance_state(spark, sf)).drop("score_band")
+
+
 @query
 def performance_summary(spark, sf):
     return evaluation.performance_summary(evaluated(spark, sf), EVALUATION_DATE).drop("created_at")
@@ -890,4 +900,5 @@ def platt_calibrate(spark, sf):
 
 @query
 def bootstrap_sample(spark, sf):
-    return sampling.bootstrap_sample(V.predictions(spark, sf), 0.5, K.SPLIT_SEED)
+    stored = V.predictions(spark, sf)
+    return sampling.bootstrap_sample(stored, 0.5, K.SPLIT_SEED, ["Customer_ID", "snapshot_date"])

@@ -778,6 +778,15 @@ def statements() -> dict[str, str]:
         _bands("(SELECT * RENAME (label AS predicted_label) FROM scores)"), numbers=band_numbers
     )
     sql["score_bands_matured"] = _shaped(_bands("evaluated"), numbers=band_numbers)
+    sql["score_bands_from_state"] = sql["score_bands_matured"]
+    sql["performance_state"] = _shaped(
+        """SELECT model_version, prediction_snapshot_date, label_snapshot_date, prediction_threshold,
+          model_predictions AS score, predicted_label AS predicted, actual_label AS actual,
+          count(*) AS rows
+        FROM evaluated GROUP BY ALL""",
+        "prediction_snapshot_date label_snapshot_date",
+        "score prediction_threshold",
+    )
     grouped = """SELECT *, unnest(['all_matured_predictions',
         strftime(prediction_snapshot_date, 'prediction_%Y_%m_%d')]) AS performance_group FROM evaluated"""
     group_ranks = _ranked(
@@ -972,6 +981,17 @@ def statements() -> dict[str, str]:
           count(*) AS row_count FROM financials_raw GROUP BY ALL""",
         floats="as_float",
     )
+    sql["bootstrap_sample"] = _shaped(
+        """SELECT Customer_ID, snapshot_date, model_predictions, model_name, prediction_threshold, label
+        FROM (SELECT *, row_number() OVER (
+            ORDER BY md5(Customer_ID || '|' || snapshot_date::VARCHAR || '|88')) AS place FROM predictions)
+        JOIN (SELECT 1 + floor(('0x' || substr(md5('88|' || k), 1, 13))::BIGINT::DOUBLE
+              / 4503599627370496::DOUBLE * rows::DOUBLE)::BIGINT AS place
+          FROM (SELECT rows, unnest(range(0, floor(rows * 0.5 + 0.5)::BIGINT)) AS k
+            FROM (SELECT count(*) AS rows FROM predictions))) USING (place)""",
+        "snapshot_date",
+        "model_predictions prediction_threshold",
+    )
     sql["stratified_split"] = _shaped(
         """SELECT actual_label, rn <= ceil(n / 5.0) AS holdout, count(*) AS row_count,
           max(row_key) AS last_key
