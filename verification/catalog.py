@@ -591,6 +591,16 @@ def performance_summary(spark, sf):
     return evaluation.performance_summary(evaluated(spark, sf), EVALUATION_DATE).drop("created_at")
 
 
+@query
+def overall_performance(spark, sf):
+    return selection.overall_performance(performance_summary(spark, sf))
+
+
+@query
+def monthly_performance(spark, sf):
+    return selection.monthly_performance(performance_summary(spark, sf))
+
+
 # --- Histories and registry ---------------------------------------------------------------
 
 

@@ -813,6 +813,13 @@ def statements() -> dict[str, str]:
         numbers="actual_default_rate avg_model_prediction prediction_threshold"
         " predicted_default_rate accuracy precision recall specificity f1 auc gini brier log_loss",
     )
+    summary = sql["performance_summary"]
+    sql["overall_performance"] = (
+        f"SELECT * FROM ({summary}) WHERE performance_group = 'all_matured_predictions'"
+    )
+    sql["monthly_performance"] = f"""
+        SELECT *, prediction_start_date AS prediction_snapshot_date FROM ({summary})
+        WHERE performance_group LIKE 'prediction\\_%' ESCAPE '\\'"""
 
     # Histories and registry
     sql["history_upsert"] = _shaped(
