@@ -28,8 +28,12 @@ within two bits in one band or more with a probability of 0.98, at 0.825 of 0.99
 practically always; no count of partners or candidates is limited.
 
 Crowds of similar texts are joined first, by one partner each: a text is counted against the
-smallest one that shares the most whole bands with it. Later only texts of different classes are
-compared, first each with its nearest, and what is still apart then with all others it met.
+smallest one that shares the most whole bands with it. Then each text is counted against the
+nearest one of another class that it meets, round after round while that joins many. Each round has
+a row a text and bucket and not a row a pair. Only then all pairs still apart are listed, and of
+these only the ones that may be similar by an exact bound: two texts of different classes cannot
+have more in common than each of them shares with texts of other classes. Texts of a crowd that
+own more than a ninth of their shingles alone, as those with a common template, thus make no pair.
 """
 
 from __future__ import annotations
@@ -54,8 +58,9 @@ BANDS = 20  # short fingerprints of a shingle set
 BAND_BITS = 28
 PARTS = ((0, 10), (10, 19), (19, 28))  # of two differing bits, one of three parts has none
 WORDS = BANDS // 2  # a word holds two bands
-CHECK_WORDS = 5  # compared where texts meet
-CHECK_BITS = 64  # that may differ there, of 280; at 0.8 they are 42 with a deviation of 6
+CHECK_WORDS = 5  # carried where all texts meet; those that have a partner carry all words afterwards
+CHECK_BITS = {5: 64, 10: 116}  # that may differ, by words; at 0.8 they are 42 of 280 (deviation 6), 85 of 560 (8.5)
+ROUND_GAIN = 10  # another round of nearest partners if one text in so many found a similar one
 BUCKET_TEXTS = 4_000  # wanted in a bucket of one part of a band
 BUCKET_FINGERPRINTS = 4_000  # wanted of distinct fingerprints to a bucket's own bits
 
@@ -323,12 +328,24 @@ def _partners(signed: DataFrame) -> DataFrame:
     return chosen.select(F.col("centre").alias("a"), F.col("tie").alias("b"))
 
 
-def _bucket_pairs(rows: pd.DataFrame, part: int, similarity: float) -> pd.DataFrame:
-    """Pairs of texts with different roots that meet at a variant outside the part and may be similar."""
-    rows = rows.sort_values(["root", "tie"], kind="stable")
-    codes, ties, sizes, roots = (rows[name].to_numpy(np.int64) for name in ("code", "tie", "n", "root"))
-    words = rows[_CHECKS].to_numpy(np.int64).view(np.uint64)
+def _gaps(words: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits by band between the texts at ``x`` and at ``y``: a row a pair."""
+    differ = words[x] ^ words[y]
+    halves = np.stack([differ & np.uint64(_BAND), differ >> np.uint64(BAND_BITS)], axis=2)
+    return np.bitwise_count(halves).reshape(len(x), 2 * words.shape[1])
+
+
+def _bucket_pairs(rows: pd.DataFrame, similarity: float, signs: list[str]) -> Iterator[np.ndarray]:
+    """Chunks of places ``x, y`` and ``gap`` of texts with different roots that meet here and may be similar.
+
+    ``rows`` are sorted by root and are of one bucket of one part of a band. A pair comes in the first
+    part only in which its codes agree, and not at all if it meets in an earlier one of the bands carried.
+    """
+    codes, sizes, shared, roots = (rows[name].to_numpy(np.int64) for name in ("code", "n", "shared", "root"))
+    words = rows[signs].to_numpy(np.int64).view(np.uint64)
+    part, band = int(rows["part"].iloc[0]), int(rows["band"].iloc[0])
     low, high = PARTS[part]
+    allowed = CHECK_BITS[len(signs)]
     flips = np.array([0, *[1 << i for i in range(BAND_BITS) if not low <= i < high]], np.int64)
     variants = (codes[:, None] ^ flips[None, :]).ravel()
     places = np.repeat(np.arange(len(codes)), len(flips))
@@ -341,78 +358,119 @@ def _bucket_pairs(rows: pd.DataFrame, part: int, similarity: float) -> pd.DataFr
     run_end = np.append(runs[1:], len(places))[np.cumsum(new_run) - 1]
     block_end = np.append(blocks[1:], len(places))[np.cumsum(new_block) - 1]
     partners = run_end - block_end
-    found = [np.zeros((0, 3), np.int64)]
     busy = np.flatnonzero(partners)
     ends = np.cumsum(partners[busy])
     first = 0
     while first < len(busy):
         before = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, before + 500_000, "right")))
+        last = max(first + 1, int(np.searchsorted(ends, before + 200_000, "right")))
         part_of = busy[first:last]
         counts = partners[part_of]
         left = np.repeat(part_of, counts)
         steps = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         x, y = places[left], places[block_end[left] + steps]
-        fits = np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y]) - 1e-9
+        fits = (1 + similarity) * np.minimum(shared[x], shared[y]) >= similarity * (sizes[x] + sizes[y]) - 1e-6
+        for lower, upper in PARTS[:part]:
+            fits &= ((codes[x] ^ codes[y]) >> lower) & ((1 << (upper - lower)) - 1) != 0
         x, y = x[fits], y[fits]
-        gaps = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
-        near = gaps <= CHECK_BITS
-        x, y = ties[x[near]], ties[y[near]]
-        found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), gaps[near]], axis=1), axis=0))
+        gaps = _gaps(words, x, y)
+        total = gaps.sum(axis=1, dtype=np.int64)
+        near = (total <= allowed) & (gaps[:, :band] > 2).all(axis=1)
+        yield np.unique(np.stack([x[near], y[near], total[near]], axis=1), axis=0)
         first = last
-    return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b", "gap"])
 
 
-def _meetings(signed: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a, b`` with different ``root`` that meet in a band, and ``gap``, their differing bits."""
+def _closest(pairs: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Of ``x, y, gap`` in both directions one row for each ``x``: that with the least gap, then the smallest tie."""
+    order = np.lexsort((ties[pairs[:, 1]], pairs[:, 2], pairs[:, 0]))
+    pairs = pairs[order]
+    return pairs[np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])] if len(pairs) else pairs
+
+
+def _dealt_texts(signed: DataFrame, signs: list[str]) -> DataFrame:
+    """Each text once for each part of each band, with the bucket of the part's own bits."""
     n = signed.count()
     bits = int(np.clip(np.ceil(np.log2(max(n, 1) / BUCKET_TEXTS)), 0, min(high - low for low, high in PARTS)))
-    own = F.expr("code")
     slots = [
-        F.struct(F.lit(i).alias("part"), F.shiftright(own, low).bitwiseAND(F.lit((1 << bits) - 1)).alias("bucket"))
+        F.struct(F.lit(i).alias("part"), F.shiftright("code", low).bitwiseAND(F.lit((1 << bits) - 1)).alias("bucket"))
         for i, (low, _) in enumerate(PARTS)
     ]
-    carried = ["tie", "n", "root", *_CHECKS]
-    dealt = (
+    carried = ["tie", "n", "shared", "root", *signs]
+    return (
         _banded(signed, *carried)
         .select(*carried, "band", "code", F.explode(F.array(*slots)).alias("slot"))
         .select(*carried, "band", "code", "slot.part", "slot.bucket")
     )
 
+
+def _meetings(signed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` with different ``root`` that meet in a band and may be similar, each once."""
+
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _bucket_pairs(pdf, int(pdf["part"].iloc[0]), similarity)
+        pdf = pdf.sort_values(["root", "tie"], kind="stable")
+        ties = pdf["tie"].to_numpy(np.int64)
+        found = np.concatenate([np.zeros((0, 3), np.int64), *_bucket_pairs(pdf, similarity, _SIGNS)])
+        both = np.unique(np.sort(ties[found[:, :2]], axis=1), axis=0)
+        return pd.DataFrame(both, columns=["a", "b"])
 
-    met = dealt.groupBy("band", "part", "bucket").applyInPandas(pairs, "a long, b long, gap long")
-    return materialize(met.distinct())
+    dealt = _dealt_texts(signed, _SIGNS)
+    return materialize(dealt.groupBy("band", "part", "bucket").applyInPandas(pairs, "a long, b long"))
 
 
-def _texts_of(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
-    """``tie, text`` of the texts in the pairs."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("tie")).distinct()
-    return materialize(
-        keyed.select("tie", "text").join(nodes, "tie", "left_semi").groupBy("tie").agg(F.first("text").alias("text"))
-    )
+def _nearest(signed: DataFrame, similarity: float, signs: list[str]) -> DataFrame:
+    """``tie, other``: for each text that meets one of another ``root``, the one with the least differing bits.
+
+    A bucket tells one partner a text, so the rows do not grow with the number of pairs.
+    """
+
+    def closest(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["root", "tie"], kind="stable")
+        ties = pdf["tie"].to_numpy(np.int64)
+        best = np.zeros((0, 3), np.int64)
+        for found in _bucket_pairs(pdf, similarity, signs):
+            best = _closest(np.concatenate([best, found, found[:, [1, 0, 2]]]), ties)
+        return pd.DataFrame({"tie": ties[best[:, 0]], "other": ties[best[:, 1]], "gap": best[:, 2]})
+
+    dealt = _dealt_texts(signed.withColumn("shared", F.col("n")), signs)
+    told = dealt.groupBy("band", "part", "bucket").applyInPandas(closest, "tie long, other long, gap long")
+    return materialize(told.groupBy("tie").agg(F.min_by("other", F.struct("gap", "other")).alias("other")))
 
 
-def _counted(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _sets_of(ties: DataFrame, keyed: DataFrame, shingle: int) -> DataFrame:
+    """``tie, hashes``: the shingle sets of the texts named in ``ties``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text.as_py(), shingle) for text in batch.column("text")]
+            ends = np.cumsum([0, *map(len, sets)])
+            hashes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, ends[:0]])))
+            yield pa.RecordBatch.from_arrays([batch.column("tie"), hashes], ["tie", "hashes"])
+
+    texts = keyed.select("tie", "text").join(ties.select("tie").distinct(), "tie", "left_semi")
+    once = texts.groupBy("tie").agg(F.first("text").alias("text"))
+    return materialize(once.mapInArrow(rows, "tie long, hashes array<bigint>"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("tie"))
+
+
+def _counted(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs ``a, b`` whose whole shingle sets have the similarity."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, one = [], None, None
-            for a, left, right in zip(batch.column("a").to_pylist(), batch.column("left"), batch.column("right")):
-                if a != last:
-                    last, one = a, shingle_set(left.as_py(), shingle)
-                other = shingle_set(right.as_py(), shingle)
+            keep = []
+            for left, right in zip(batch.column("left"), batch.column("right")):
+                one, other = (side.values.to_numpy(zero_copy_only=False) for side in (left, right))
                 common = len(np.intersect1d(one, other, assume_unique=True))
                 keep.append(common >= similarity * (len(one) + len(other) - common) - 1e-9)
-            kept = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-            yield kept
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = (
         pairs.select("a", "b")
-        .join(texts.toDF("b", "right"), "b")
-        .join(texts.toDF("a", "left"), "a")
+        .join(sets.toDF("b", "right"), "b")
+        .join(sets.toDF("a", "left"), "a")
         .select("a", "b", "left", "right")
     )
     return materialize(both.mapInArrow(rows, "a long, b long"))
@@ -424,32 +482,49 @@ def similar(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
     A class of g similar texts has g * g / 2 pairs; ``classes`` names classes without listing them.
     """
     signed = materialize(_signed(keyed, shingle))
-    met = _meetings(signed.withColumn("root", F.col("tie")), similarity)
-    return _counted(met, _texts_of(met, keyed), shingle, similarity)
+    met = _meetings(signed.select("*", F.col("tie").alias("root"), F.col("n").alias("shared")), similarity)
+    return _counted(met, _sets_of(_ends(met), keyed, shingle), similarity)
+
 
+def _rooted(signed: DataFrame, roots: DataFrame) -> DataFrame:
+    """The texts with their ``root``; who is not in ``roots`` is its own."""
+    named = signed.join(roots.toDF("tie", "root"), "tie", "left")
+    return named.withColumn("root", F.coalesce("root", "tie"))
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose two texts have different roots; who is not in ``roots`` is its own."""
-    named = pairs.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
-    return named.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
+
+def _with_shared(rooted: DataFrame, sets: DataFrame) -> DataFrame:
+    """The texts with ``shared``: how many shingles of each stand in a text of another root, too.
+
+    No text has more in common with one of another root, whatever the two are.
+    """
+    each = sets.join(rooted.select("tie", "root"), "tie").select("tie", "root", F.explode("hashes").alias("hash"))
+    spread = each.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    counts = each.join(spread.select("hash"), "hash", "left_semi").groupBy("tie").agg(F.count(F.lit(1)).alias("shared"))
+    return rooted.join(counts, "tie")
 
 
 def classes(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``tie, root`` of all texts that reach another one over pairs with the similarity."""
     signed = materialize(_signed(keyed, shingle))
     first = materialize(_partners(signed))
-    links = _counted(first, _texts_of(first, keyed), shingle, similarity)
-    roots = materialize(components(links))
-    rooted = signed.join(roots.toDF("tie", "root"), "tie", "left").withColumn("root", F.coalesce("root", "tie"))
-    met = _meetings(rooted, similarity)
-    texts = _texts_of(met, keyed)
-    ends = met.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"), "gap")
-    nearest = ends.groupBy("x.a").agg(F.min_by("x.b", F.struct("gap", "x.b")).alias("b"))
-    nearest = materialize(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = links.union(_counted(nearest, texts, shingle, similarity))
+    links = _counted(first, _sets_of(_ends(first), keyed, shingle), similarity)
     roots = materialize(components(links))
-    rest = _apart(met.select("a", "b").join(nearest, ["a", "b"], "left_anti"), roots)
-    return materialize(components(links.union(_counted(rest, texts, shingle, similarity))).toDF("tie", "root"))
+    nearest = _nearest(_rooted(signed, roots), similarity, _CHECKS)
+    # Who meets nobody of another class now will not later, as classes only grow.
+    signed = materialize(signed.join(nearest.select("tie"), "tie", "left_semi"))
+    sets = _sets_of(nearest, keyed, shingle)
+    while True:
+        pairs = nearest.select(F.least("tie", "other").alias("a"), F.greatest("tie", "other").alias("b")).distinct()
+        found = _counted(pairs, sets, similarity)
+        links = links.union(found)
+        roots = materialize(components(links))
+        if found.count() * ROUND_GAIN <= nearest.count():
+            break
+        nearest = _nearest(_rooted(signed, roots), similarity, _SIGNS)
+    # All other pairs, less those that by the shingles they share with anyone cannot be similar.
+    rest = _with_shared(_rooted(signed.join(nearest.select("tie"), "tie", "left_semi"), roots), sets)
+    met = _meetings(materialize(rest.where(F.col("shared") >= similarity * F.col("n") - 1e-6)), similarity)
+    return materialize(components(links.union(_counted(met, sets, similarity))).toDF("tie", "root"))
 
 
 def deduplicated(docs: DataFrame, shingle: int | None = None, similarity: float | None = None) -> DataFrame:

@@ -211,6 +211,36 @@ def test_recall_by_similarity_and_in_a_crowd(spark):
     print("found of 60:", dict(found), "of 50 in the crowd:", 50 - len(kept & set(range(first + 200, first + 250))))
 
 
+def test_pairs_counted_do_not_grow_with_the_square_of_a_crowd(spark, monkeypatch):
+    rng = random.Random(17)
+
+    def fresh(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    base = fresh(150)
+    family = [changed(rng, base, times) for times in (1, 2, 3, 4) for _ in range(40)]  # to base from 0.93 down to 0.76
+    template = fresh(120)
+    crowd = [template + fresh(25) for _ in range(150)]  # about 0.7 to each other
+    texts = [" ".join(words) for words in [base, *family, *crowd]]
+    sets = [plain_shingles(t) for t in texts]
+    least = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 and least[i] != least[j]:
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    counted, plain = [], simhash._counted
+
+    def recorded(pairs, *others):
+        counted.append(pairs.count())
+        return plain(pairs, *others)
+
+    monkeypatch.setattr(simhash, "_counted", recorded)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicated(docs, 5, 0.8).collect()} == set(least)
+    assert len(set(least)) > 150 and sum(counted) < 5 * len(texts), counted
+
+
 # --- Mixing ---------------------------------------------------------------------------------
 
 
