@@ -45,8 +45,11 @@ class PieceCache:
         self._slots.update(zip(pieces, range(first, first + len(pieces))))
         self._used = end
 
-    def ids(self, pieces: list[Hashable]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of ``pieces`` end to end, and how many each piece has."""
+    def ids(self, pieces: list[Hashable], places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``pieces`` end to end, and how many each piece has.
+
+        With ``places``, ``pieces`` are all distinct, and those meant are ``pieces[place]`` for each of these.
+        """
         if len(self._slots) > self._limit:
             self._clear()
         known = self._slots.get
@@ -54,8 +57,14 @@ class PieceCache:
         unknown = np.flatnonzero(slots < 0)
         if len(unknown):
             missing = [pieces[i] for i in unknown.tolist()]
-            self._learn(list(dict.fromkeys(missing)))
-            slots[unknown] = np.fromiter(map(self._slots.__getitem__, missing), np.int64, len(missing))
+            if places is None:
+                self._learn(list(dict.fromkeys(missing)))
+                slots[unknown] = np.fromiter(map(self._slots.__getitem__, missing), np.int64, len(missing))
+            else:
+                slots[unknown] = np.arange(len(missing)) + len(self._slots)
+                self._learn(missing)
+        if places is not None:
+            slots = slots[places]
         sizes = self._sizes[slots]
         return self._ids[spans(self._starts[slots], sizes)], sizes
 

@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,7 @@ from creditloom.llm.tables import text_hash
 
 SHARD_IDS = 1 << 20
 MIN_COUNT = 24  # a pair found fewer times in a shard is not worth a rule
+TEXTS = 1024  # encoded at once
 MAX_RULES = 16_000  # with a base of 49,408 all symbols then fit 16 bits
 
 SHARD = (
@@ -120,7 +122,9 @@ def compress(
         run = np.repeat(first, np.diff(first, append=len(places)))
         counted = (np.arange(len(places)) - run) % 2 == 0
         places = places[counted]
-        used, number = np.unique(which[counted], return_inverse=True)
+        present = np.zeros(len(picked), bool)
+        present[which[counted]] = True
+        used, number = np.flatnonzero(present), (np.cumsum(present) - 1)[which[counted]]
         new = base + len(rules)
         for pair in picked[used].tolist():
             left, right = pair >> half, pair & ((1 << half) - 1)
@@ -258,16 +262,18 @@ def _word_cache(path: str) -> tuple[PieceCache, int]:
     return _CACHES[path]
 
 
-def _encoded(texts: list[str | None], cache: PieceCache, end_id: int):
-    """Ids of all texts, each with the end id behind it, and how many ids each has."""
-    pieces: list = []
-    counts = []
-    for text in texts:
-        own = text.replace("\n", " ").split(" ") if text else []
-        pieces += own
-        counts.append(len(own))
-    ids, sizes = cache.ids(pieces)
-    sizes = sums(sizes, np.array(counts, np.int64)) if pieces else np.zeros(len(texts), np.int64)
+def _encoded(texts: pa.Array | list[str | None], cache: PieceCache, end_id: int):
+    """Ids of all texts, each with the end id behind it, and how many ids each has.
+
+    Arrow cuts the texts and finds the distinct pieces; only those become Python strings.
+    """
+    texts = pc.replace_substring(pa.array(texts, pa.string()), "\n", " ")
+    pieces = pc.split_pattern(texts, " ")
+    counts = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.dictionary_encode(pieces.flatten())
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    ids, sizes = cache.ids(distinct, coded.indices.to_numpy())
+    sizes = sums(sizes, counts)
     ends = np.cumsum(sizes)
     return np.insert(ids, ends, end_id), sizes + 1
 
@@ -297,8 +303,8 @@ def _shard_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard
 
     for batch in batches:
         names, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-        for first in range(0, len(names), 256):
-            coded, counts = _encoded(texts.slice(first, 256).to_pylist(), cache, end_id)
+        for first in range(0, len(names), TEXTS):
+            coded, counts = _encoded(texts.slice(first, TEXTS), cache, end_id)
             ends = np.cumsum(counts)
             at = 0
             while at < len(counts):  # a shard closes behind the document that fills it

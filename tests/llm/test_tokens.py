@@ -122,6 +122,23 @@ def test_word_pieces_equal_the_whole_text(text):
     assert ids.tolist()[:-1] == Tokenizer.from_file(WORD_TOKENIZER).encode(text, add_special_tokens=False).ids
 
 
+def test_each_distinct_piece_of_a_batch_is_looked_up_once(monkeypatch):
+    cache, _ = repair._word_cache(WORD_TOKENIZER)
+    asked, plain = [], cache.ids
+
+    def recorded(pieces, *places):
+        asked.extend(pieces)
+        return plain(pieces, *places)
+
+    monkeypatch.setattr(cache, "ids", recorded)
+    texts = ["the same  word\nthe same", None, "", "the other word", " ", "É, the\tsame"] * 50
+    ids, sizes = repair._encoded(texts, cache, END_ID)
+    assert len(asked) == len(set(asked))
+    whole = Tokenizer.from_file(WORD_TOKENIZER)
+    want = [[*whole.encode(text or "", add_special_tokens=False).ids, END_ID] for text in texts]
+    assert ids.tolist() == [x for each in want for x in each] and sizes.tolist() == [len(each) for each in want]
+
+
 # --- Prefix BPE -----------------------------------------------------------------------------
 
 
