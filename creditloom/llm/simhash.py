@@ -273,6 +273,11 @@ _SIGNS = [f"w{i}" for i in range(WORDS)]
 _CHECKS = _SIGNS[:CHECK_WORDS]
 
 
+def _fixed(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed; its shuffles, which hold whole texts or a row a text and bucket, do not pile up."""
+    return materialize(df, drop_shuffles=True)
+
+
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """The distinct shingle hashes in rising order; all texts without words have the same one."""
     found = np.unique(shingle_hashes(text, shingle, SEED).view(np.int64))
@@ -414,7 +419,7 @@ def _meetings(signed: DataFrame, similarity: float) -> DataFrame:
         return pd.DataFrame(both, columns=["a", "b"])
 
     dealt = _dealt_texts(signed, _SIGNS)
-    return materialize(dealt.groupBy("band", "part", "bucket").applyInPandas(pairs, "a long, b long"))
+    return _fixed(dealt.groupBy("band", "part", "bucket").applyInPandas(pairs, "a long, b long"))
 
 
 def _nearest(signed: DataFrame, similarity: float, signs: list[str]) -> DataFrame:
@@ -433,7 +438,7 @@ def _nearest(signed: DataFrame, similarity: float, signs: list[str]) -> DataFram
 
     dealt = _dealt_texts(signed.withColumn("shared", F.col("n")), signs)
     told = dealt.groupBy("band", "part", "bucket").applyInPandas(closest, "tie long, other long, gap long")
-    return materialize(told.groupBy("tie").agg(F.min_by("other", F.struct("gap", "other")).alias("other")))
+    return _fixed(told.groupBy("tie").agg(F.min_by("other", F.struct("gap", "other")).alias("other")))
 
 
 def _sets_of(ties: DataFrame, keyed: DataFrame, shingle: int) -> DataFrame:
@@ -448,7 +453,7 @@ def _sets_of(ties: DataFrame, keyed: DataFrame, shingle: int) -> DataFrame:
 
     texts = keyed.select("tie", "text").join(ties.select("tie").distinct(), "tie", "left_semi")
     once = texts.groupBy("tie").agg(F.first("text").alias("text"))
-    return materialize(once.mapInArrow(rows, "tie long, hashes array<bigint>"))
+    return _fixed(once.mapInArrow(rows, "tie long, hashes array<bigint>"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -473,7 +478,7 @@ def _counted(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         .join(sets.toDF("a", "left"), "a")
         .select("a", "b", "left", "right")
     )
-    return materialize(both.mapInArrow(rows, "a long, b long"))
+    return _fixed(both.mapInArrow(rows, "a long, b long"))
 
 
 def similar(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -481,7 +486,7 @@ def similar(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
     A class of g similar texts has g * g / 2 pairs; ``classes`` names classes without listing them.
     """
-    signed = materialize(_signed(keyed, shingle))
+    signed = _fixed(_signed(keyed, shingle))
     met = _meetings(signed.select("*", F.col("tie").alias("root"), F.col("n").alias("shared")), similarity)
     return _counted(met, _sets_of(_ends(met), keyed, shingle), similarity)
 
@@ -505,26 +510,26 @@ def _with_shared(rooted: DataFrame, sets: DataFrame) -> DataFrame:
 
 def classes(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``tie, root`` of all texts that reach another one over pairs with the similarity."""
-    signed = materialize(_signed(keyed, shingle))
-    first = materialize(_partners(signed))
+    signed = _fixed(_signed(keyed, shingle))
+    first = _fixed(_partners(signed))
     links = _counted(first, _sets_of(_ends(first), keyed, shingle), similarity)
-    roots = materialize(components(links))
+    roots = _fixed(components(links))
     nearest = _nearest(_rooted(signed, roots), similarity, _CHECKS)
     # Who meets nobody of another class now will not later, as classes only grow.
-    signed = materialize(signed.join(nearest.select("tie"), "tie", "left_semi"))
+    signed = _fixed(signed.join(nearest.select("tie"), "tie", "left_semi"))
     sets = _sets_of(nearest, keyed, shingle)
     while True:
         pairs = nearest.select(F.least("tie", "other").alias("a"), F.greatest("tie", "other").alias("b")).distinct()
         found = _counted(pairs, sets, similarity)
         links = links.union(found)
-        roots = materialize(components(links))
+        roots = _fixed(components(links))
         if found.count() * ROUND_GAIN <= nearest.count():
             break
         nearest = _nearest(_rooted(signed, roots), similarity, _SIGNS)
     # All other pairs, less those that by the shingles they share with anyone cannot be similar.
     rest = _with_shared(_rooted(signed.join(nearest.select("tie"), "tie", "left_semi"), roots), sets)
-    met = _meetings(materialize(rest.where(F.col("shared") >= similarity * F.col("n") - 1e-6)), similarity)
-    return materialize(components(links.union(_counted(met, sets, similarity))).toDF("tie", "root"))
+    met = _meetings(_fixed(rest.where(F.col("shared") >= similarity * F.col("n") - 1e-6)), similarity)
+    return _fixed(components(links.union(_counted(met, sets, similarity))).toDF("tie", "root"))
 
 
 def deduplicated(docs: DataFrame, shingle: int | None = None, similarity: float | None = None) -> DataFrame:

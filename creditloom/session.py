@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Whether the shuffle files of a query go at its end.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app: str, master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; the cluster's own settings win elsewhere."""
@@ -52,7 +55,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` so that later stages see one fixed result even if executors are lost."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, drop_shuffles: bool = False) -> DataFrame:
+    """Checkpoint ``df`` so that later stages see one fixed result even if executors are lost.
+
+    With ``drop_shuffles`` Spark removes the shuffle files of ``df`` as soon as its rows are written,
+    and not only when the driver happens to collect its garbage: nobody reads them again then.
+    """
+    spark = df.sparkSession
+    _checkpoint_dir(spark)
+    if not drop_shuffles:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a query of its own, made under the setting
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP_SHUFFLES)
+        else:
+            spark.conf.set(_DROP_SHUFFLES, before)
