@@ -4,7 +4,9 @@ Large-star links every larger neighbour of a node to the node's smallest neighbo
 links a node and its smaller neighbours to the smallest of them; both keep components as they are.
 They alternate until nothing changes, which takes few rounds also for long chains. Each round is a
 grouped minimum (summed up before the shuffle, so a node with very many edges is no burden) and a
-join that splits hot keys; its result is checkpointed.
+join that splits hot keys. Each step's edges are written as a table that the next one reads, and go
+once that is written, as do the shuffles: a table of few rows is read by few tasks, while a checkpoint
+has as many partitions as the shuffle before it, however few rows they hold.
 """
 
 from __future__ import annotations
@@ -12,11 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.session import materialize
+from creditloom.llm.tables import written
+from creditloom.session import dropped_shuffles, shared_folder
+from creditloom.sources.files import delete
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("low", "high")).toDF("node", "other")
+    ways = [F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in (("high", "low"), ("low", "high"))]
+    both = edges.select(F.inline(F.array(*ways)))
     least = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("least"))
     return (
         both.where("other > node").join(least, "node").select(F.col("other").alias("high"), F.col("least").alias("low"))
@@ -25,8 +30,9 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("high").agg(F.min("low").alias("least"))
-    moved = edges.join(least, "high").where("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low"))
-    return moved.union(least.select("high", F.col("least").alias("low"))).distinct()
+    # The smallest neighbour keeps the node; the other ones are linked to the smallest instead.
+    child = F.when(F.col("low") == F.col("least"), F.col("high")).otherwise(F.col("low"))
+    return edges.join(least, "high").select(child.alias("high"), F.col("least").alias("low")).distinct()
 
 
 def _state(edges: DataFrame):
@@ -42,16 +48,20 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has two columns of one orderable type. Loops and repeated edges do no harm; nodes
     without an edge to another node are not returned.
     """
+    spark = edges.sparkSession
     a, b = (F.col(f"`{name}`") for name in edges.columns)
-    edges = materialize(
-        edges.where(a != b).select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).distinct()
-    )
-    state = _state(edges)
-    while state[0]:
-        edges = materialize(_small_star(_large_star(edges)))
-        before, state = state, _state(edges)
-        if state == before:
-            break
+    edges = edges.where(a != b).select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).distinct()
+    with dropped_shuffles(spark):
+        edges = written(edges, folder := shared_folder(spark))
+        state = _state(edges)
+        while state[0]:
+            for step in (_large_star, _small_star):
+                edges, old = written(step(edges), new := shared_folder(spark)), folder
+                delete(spark, old)
+                folder = new
+            before, state = state, _state(edges)
+            if state == before:
+                break
     return edges.select(F.col("high").alias("node"), F.col("low").alias("root")).union(
         edges.select("low", "low").distinct()
     )

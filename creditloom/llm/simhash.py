@@ -61,6 +61,7 @@ WORDS = BANDS // 2  # a word holds two bands
 CHECK_WORDS = 5  # carried where all texts meet; those that have a partner carry all words afterwards
 CHECK_BITS = {5: 64, 10: 116}  # that may differ, by words; at 0.8 they are 42 of 280 (deviation 6), 85 of 560 (8.5)
 ROUND_GAIN = 10  # another round of nearest partners if one text in so many found a similar one
+PAIRS_AT_ONCE = 50_000  # whose bits are compared in one go, about 30 MB of them
 BUCKET_TEXTS = 4_000  # wanted in a bucket of one part of a band
 BUCKET_FINGERPRINTS = 4_000  # wanted of distinct fingerprints to a bucket's own bits
 
@@ -368,7 +369,7 @@ def _bucket_pairs(rows: pd.DataFrame, similarity: float, signs: list[str]) -> It
     first = 0
     while first < len(busy):
         before = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, before + 200_000, "right")))
+        last = max(first + 1, int(np.searchsorted(ends, before + PAIRS_AT_ONCE, "right")))
         part_of = busy[first:last]
         counts = partners[part_of]
         left = np.repeat(part_of, counts)
@@ -392,9 +393,8 @@ def _closest(pairs: np.ndarray, ties: np.ndarray) -> np.ndarray:
     return pairs[np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])] if len(pairs) else pairs
 
 
-def _dealt_texts(signed: DataFrame, signs: list[str]) -> DataFrame:
-    """Each text once for each part of each band, with the bucket of the part's own bits."""
-    n = signed.count()
+def _dealt_texts(signed: DataFrame, n: int, signs: list[str]) -> DataFrame:
+    """Each of the ``n`` texts once for each part of each band, with the bucket of the part's own bits."""
     bits = int(np.clip(np.ceil(np.log2(max(n, 1) / BUCKET_TEXTS)), 0, min(high - low for low, high in PARTS)))
     slots = [
         F.struct(F.lit(i).alias("part"), F.shiftright("code", low).bitwiseAND(F.lit((1 << bits) - 1)).alias("bucket"))
@@ -418,12 +418,12 @@ def _meetings(signed: DataFrame, similarity: float) -> DataFrame:
         both = np.unique(np.sort(ties[found[:, :2]], axis=1), axis=0)
         return pd.DataFrame(both, columns=["a", "b"])
 
-    dealt = _dealt_texts(signed, _SIGNS)
+    dealt = _dealt_texts(signed, signed.count(), _SIGNS)
     return _fixed(dealt.groupBy("band", "part", "bucket").applyInPandas(pairs, "a long, b long"))
 
 
-def _nearest(signed: DataFrame, similarity: float, signs: list[str]) -> DataFrame:
-    """``tie, other``: for each text that meets one of another ``root``, the one with the least differing bits.
+def _nearest(signed: DataFrame, roots: DataFrame, similarity: float, signs: list[str]) -> DataFrame:
+    """``tie, other``: for each text that meets one of another root, the one with the least differing bits.
 
     A bucket tells one partner a text, so the rows do not grow with the number of pairs.
     """
@@ -436,7 +436,7 @@ def _nearest(signed: DataFrame, similarity: float, signs: list[str]) -> DataFram
             best = _closest(np.concatenate([best, found, found[:, [1, 0, 2]]]), ties)
         return pd.DataFrame({"tie": ties[best[:, 0]], "other": ties[best[:, 1]], "gap": best[:, 2]})
 
-    dealt = _dealt_texts(signed.withColumn("shared", F.col("n")), signs)
+    dealt = _dealt_texts(_rooted(signed, roots).withColumn("shared", F.col("n")), signed.count(), signs)
     told = dealt.groupBy("band", "part", "bucket").applyInPandas(closest, "tie long, other long, gap long")
     return _fixed(told.groupBy("tie").agg(F.min_by("other", F.struct("gap", "other")).alias("other")))
 
@@ -514,22 +514,21 @@ def classes(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
     first = _fixed(_partners(signed))
     links = _counted(first, _sets_of(_ends(first), keyed, shingle), similarity)
     roots = _fixed(components(links))
-    nearest = _nearest(_rooted(signed, roots), similarity, _CHECKS)
+    nearest = _nearest(signed, roots, similarity, _CHECKS)
     # Who meets nobody of another class now will not later, as classes only grow.
     signed = _fixed(signed.join(nearest.select("tie"), "tie", "left_semi"))
     sets = _sets_of(nearest, keyed, shingle)
     while True:
         pairs = nearest.select(F.least("tie", "other").alias("a"), F.greatest("tie", "other").alias("b")).distinct()
         found = _counted(pairs, sets, similarity)
-        links = links.union(found)
-        roots = _fixed(components(links))
+        roots = _fixed(components(roots.union(found)))  # the classes so far are stars already
         if found.count() * ROUND_GAIN <= nearest.count():
             break
-        nearest = _nearest(_rooted(signed, roots), similarity, _SIGNS)
+        nearest = _nearest(signed, roots, similarity, _SIGNS)
     # All other pairs, less those that by the shingles they share with anyone cannot be similar.
     rest = _with_shared(_rooted(signed.join(nearest.select("tie"), "tie", "left_semi"), roots), sets)
     met = _meetings(_fixed(rest.where(F.col("shared") >= similarity * F.col("n") - 1e-6)), similarity)
-    return _fixed(components(links.union(_counted(met, sets, similarity))).toDF("tie", "root"))
+    return _fixed(components(roots.union(_counted(met, sets, similarity))).toDF("tie", "root"))
 
 
 def deduplicated(docs: DataFrame, shingle: int | None = None, similarity: float | None = None) -> DataFrame:

@@ -15,13 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, read again.
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, or in the ``folder`` given, read again.
 
     Cuts lineage like a checkpoint. A checkpoint keeps the plan's estimated size, which grows as a
     power when a loop joins its own results again and again; a table has its true one.
     """
-    folder = shared_folder(df.sparkSession)
+    folder = folder or shared_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +57,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of each query made and run in here as soon as that ends."""
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP_SHUFFLES)
+        else:
+            spark.conf.set(_DROP_SHUFFLES, before)
+
+
 def materialize(df: DataFrame, drop_shuffles: bool = False) -> DataFrame:
     """Checkpoint ``df`` so that later stages see one fixed result even if executors are lost.
 
@@ -65,12 +81,5 @@ def materialize(df: DataFrame, drop_shuffles: bool = False) -> DataFrame:
     _checkpoint_dir(spark)
     if not drop_shuffles:
         return df.checkpoint(eager=True)
-    before = spark.conf.get(_DROP_SHUFFLES, None)
-    spark.conf.set(_DROP_SHUFFLES, "true")
-    try:
+    with dropped_shuffles(spark):
         return df.select("*").checkpoint(eager=True)  # a query of its own, made under the setting
-    finally:
-        if before is None:
-            spark.conf.unset(_DROP_SHUFFLES)
-        else:
-            spark.conf.set(_DROP_SHUFFLES, before)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -130,6 +131,32 @@ def test_chains_and_stars(spark):
     assert found == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)}
 
 
+def test_components_run_few_tasks_and_leave_one_table(spark):
+    chain = [(i, i + 1) for i in range(200)]
+    edges = spark.createDataFrame(chain, "a long, b long").repartition(2)
+    context, folder = spark.sparkContext, Path(spark.conf.get("spark.checkpoint.dir"))
+    setting = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key, None) for key in setting}
+    tables = {path.parent for path in folder.glob("*/_SUCCESS")}
+    try:
+        for key, value in setting.items():
+            spark.conf.set(key, value)
+        context.setJobGroup("few-tasks", "components")
+        found = components(edges)
+        tracker = context.statusTracker()
+        stages = {s for job in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(job).stageIds}
+        tasks = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+        assert {r.node: r.root for r in found.collect()} == dict.fromkeys(range(201), 0)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+    print("tasks:", tasks)
+    assert 0 < tasks < 3_000
+    left = {path.parent for path in folder.glob("**/_SUCCESS")} - tables
+    assert len(left) == 1
+
+
 def test_one_row_of_each_group_stays(edge_documents, no_documents):
     kept = simhash.deduplicated(edge_documents)
     assert kept.columns == edge_documents.columns
