@@ -271,6 +271,15 @@ def test_line_rules(spark, line, bad):
     assert row.kept == (not row.base_failed)
 
 
+def test_words_are_split_once(spark):
+    docs = spark.createDataFrame([(1, GOOD), (2, None)], "doc_id long, text string")
+    found = cleaning.clean(docs)
+    for columns in (found.columns, ["n_dup_lines"], ["kept"], ["clean_text"]):
+        plan = found.select(*columns)._jdf.queryExecution().optimizedPlan().toString()
+        splits = re.findall(r"(?<![a-z_])split\(", plan)
+        assert len(splits) <= 3, (columns, len(splits))  # lines, spaced lines, words
+
+
 def test_documents_that_lose_most_words_go(spark):
     text = GOOD + "\n" + "\n".join(f"a{i} | b{i} | c{i} | d{i} | e{i} | f{i}" for i in range(9))
     row = cleaning.clean(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
