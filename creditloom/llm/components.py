@@ -5,8 +5,9 @@ links a node and its smaller neighbours to the smallest of them; both keep compo
 They alternate until nothing changes, which takes few rounds also for long chains. Each round is a
 grouped minimum (summed up before the shuffle, so a node with very many edges is no burden) and a
 join that splits hot keys. Each step's edges are written as a table that the next one reads, and go
-once that is written, as do the shuffles: a table of few rows is read by few tasks, while a checkpoint
-has as many partitions as the shuffle before it, however few rows they hold.
+once that is written, as do the shuffles. A step never adds rows, so the rows before it tell how many
+tasks write it: at least one a core, and one in ``TASK_EDGES`` rows. A checkpoint would have as many
+partitions and files as the shuffle before it, however few rows they hold.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from creditloom.llm.tables import written
 from creditloom.session import dropped_shuffles, shared_folder
 from creditloom.sources.files import delete
 
+TASK_EDGES = 500_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     ways = [F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in (("high", "low"), ("low", "high"))]
@@ -55,8 +58,9 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(edges, folder := shared_folder(spark))
         state = _state(edges)
         while state[0]:
+            tasks = max(spark.sparkContext.defaultParallelism, -(-state[0] // TASK_EDGES))
             for step in (_large_star, _small_star):
-                edges, old = written(step(edges), new := shared_folder(spark)), folder
+                edges, old = written(step(edges).coalesce(tasks), new := shared_folder(spark)), folder
                 delete(spark, old)
                 folder = new
             before, state = state, _state(edges)
